@@ -289,7 +289,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         SELECT 'Senate', 'District ' || cast(nk % 11 + 1 AS string), lower(n_name), 'a10' || cast(p AS string)
         FROM places JOIN nation ON nk = n_nationkey""",
     "fips": """
-        SELECT lower(n_name) AS county, 21000 + n_nationkey * 2 + 1 AS fips FROM nation
+        SELECT lower(n_name) AS county, cast(21000 + n_nationkey * 2 + 1 AS bigint) AS fips FROM nation
         WHERE n_name <> 'NATION_7'""",
     "counties": """
         SELECT n_name AS name, cast(n_nationkey % 5 AS double) * 2e-1 - 5e-1 AS xmin,

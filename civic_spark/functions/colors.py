@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .semantics import as_col
+from .semantics import as_col, named
 
 # Ramp stops per party or primary rank, from a near tie to a landslide.
 RAMPS = {
@@ -87,19 +87,13 @@ def ramp_position(share: Column | str) -> Column:
     return F.greatest(F.least(F.coalesce(t, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
 
 
-def _ramp_axis(winner: Column, axis: int) -> Column:
-    stops = F.lit(None).cast("array<double>")
+def _stops(winner: Column) -> Column:
+    """Lab stops of the winner's ramp, from a constant map."""
+    pairs = []
     for party, ramp in RAMPS.items():
-        values = F.array(*[F.lit(float(lab_of(stop)[axis])) for stop in ramp])
-        stops = F.when(winner == party, values).otherwise(stops)
-    return stops
-
-
-def _blend(stops: Column, t: Column) -> Column:
-    place = t * (F.size(stops) - 1)
-    low = F.least(F.floor(place), F.size(stops).cast("bigint") - 2).cast("int")
-    left, right = F.get(stops, low), F.get(stops, low + 1)
-    return left + (right - left) * (place - low)
+        stops = [F.struct(*[F.lit(v).alias(n) for n, v in zip("lab", lab_of(stop))]) for stop in ramp]
+        pairs += [F.lit(party), F.array(*stops)]
+    return F.try_element_at(F.create_map(*pairs), winner)
 
 
 def _from_lab_axis(f: Column) -> Column:
@@ -117,12 +111,31 @@ def _channel_hex(linear: Column) -> Column:
 
 def ramp_fill(winner: Column | str, share: Column | str) -> Column:
     """Hex fill for a winner and its share, blended between ramp stops in Lab space."""
-    winner, t = as_col(winner), ramp_position(share)
-    lightness, a, b = (_blend(_ramp_axis(winner, axis), t) for axis in range(3))
-    fy = (lightness + 16) / 116
-    xyz = [_from_lab_axis(fy + a / 500) * WHITE[0], _from_lab_axis(fy) * WHITE[1], _from_lab_axis(fy - b / 200) * WHITE[2]]
-    rgb = [sum((xyz[i] * row[i] for i in range(1, 3)), xyz[0] * row[0]) for row in XYZ_TO_RGB]
-    fill = F.concat(F.lit("#"), *[_channel_hex(c) for c in rgb])
+    winner = as_col(winner)
+
+    def place(r: Column) -> Column:
+        at = r["t"] * (F.size(r["stops"]) - 1)
+        low = F.least(F.floor(at), F.size(r["stops"]).cast("bigint") - 2).cast("int")
+        left, right = F.get(r["stops"], low), F.get(r["stops"], low + 1)
+        return F.struct(left.alias("left"), right.alias("right"), (at - low).alias("part"))
+
+    def blend(r: Column) -> Column:
+        mixed = [(r["left"][n] + (r["right"][n] - r["left"][n]) * r["part"]).alias(n) for n in "lab"]
+        return F.struct(*mixed)
+
+    def to_xyz(r: Column) -> Column:
+        fy = (r["l"] + 16) / 116
+        axes = [fy + r["a"] / 500, fy, fy - r["b"] / 200]
+        return F.struct(*[(_from_lab_axis(f) * w).alias(n) for n, f, w in zip("xyz", axes, WHITE)])
+
+    def to_rgb(r: Column) -> Column:
+        mixed = [r["x"] * row[0] + r["y"] * row[1] + r["z"] * row[2] for row in XYZ_TO_RGB]
+        return F.struct(*[m.alias(n) for n, m in zip("rgb", mixed)])
+
+    value = F.struct(_stops(winner).alias("stops"), ramp_position(share).alias("t"))
+    for step in (place, blend, to_xyz, to_rgb):
+        value = named(value, step)
+    fill = named(value, lambda r: F.concat(F.lit("#"), *[_channel_hex(r[n]) for n in "rgb"]))
     return F.when(winner.isin(*RAMPS), fill).otherwise(NO_PARTY_FILL)
 
 

@@ -19,12 +19,21 @@ def percent(value: Column | str) -> Column:
     return F.concat(F.format_number(as_col(value) * 100, 2), F.lit("%"))
 
 
-def dollar(value: Column | str) -> Column:
-    """``-$1,234`` for whole amounts, cents when a small amount is not whole."""
+def shows_cents(largest: Column, any_part: Column) -> Column:
+    """Whether a set of amounts is written with cents: none of them is large and one of them is not whole."""
+    return (largest < CENTS_SHOWN_BELOW) & any_part
+
+
+def has_cents(value: Column) -> Column:
+    return value.cast("double") != F.floor(value.cast("double"))
+
+
+def dollar(value: Column | str, cents: Column | None = None) -> Column:
+    """``-$1,234``. Amounts shown together share one decision on cents; a lone amount decides for itself."""
     value = as_col(value)
     magnitude = F.abs(value)
-    with_cents = (magnitude < CENTS_SHOWN_BELOW) & (value != F.floor(value))
-    digits = F.when(with_cents, F.format_number(magnitude, 2)).otherwise(F.format_number(magnitude, 0))
+    cents = shows_cents(magnitude, has_cents(value)) if cents is None else cents
+    digits = F.when(cents, F.format_number(magnitude, 2)).otherwise(F.format_number(magnitude, 0))
     return F.concat(F.when(value < 0, F.lit("-$")).otherwise(F.lit("$")), digits)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .semantics import as_col, matched
+from .semantics import as_col, matched, named
 
 # Ordered office patterns over lower-case text, first match wins.
 OFFICE_PATTERNS = [
@@ -153,8 +153,7 @@ ROSTER_OVERRIDES = [
 ]
 
 
-def office_of(text: Column | str) -> Column:
-    lower = F.lower(as_col(text))
+def _first_pattern(lower: Column) -> Column:
     office = None
     for pattern, name in OFFICE_PATTERNS:
         hit = lower.rlike(pattern)
@@ -162,6 +161,11 @@ def office_of(text: Column | str) -> Column:
     return office.otherwise(OTHER_OFFICE)
 
 
+def office_of(text: Column | str) -> Column:
+    """Canonical office of a race text."""
+    return named(F.lower(as_col(text)), _first_pattern)
+
+
 def level_of(office: Column | str) -> Column:
     office = as_col(office)
     level = None
@@ -184,11 +188,14 @@ def with_office(df: DataFrame, text: str) -> DataFrame:
 
 def roster_office(text: Column | str) -> Column:
     """Canonical office for an outside roster's wording."""
-    lower = F.lower(as_col(text))
-    office = office_of(text)
-    for pattern, name in ROSTER_OVERRIDES:
-        office = F.when(lower.rlike(pattern), name).otherwise(office)
-    return office
+
+    def with_overrides(lower: Column) -> Column:
+        office = _first_pattern(lower)
+        for pattern, name in ROSTER_OVERRIDES:
+            office = F.when(lower.rlike(pattern), name).otherwise(office)
+        return office
+
+    return named(F.lower(as_col(text)), with_overrides)
 
 
 def level_rank(level: Column | str) -> Column:

@@ -19,6 +19,12 @@ def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def named(value: Column, build) -> Column:
+    """Bind a value to a name: ``build`` sees it as one lambda variable, so a long expression that uses it many
+    times neither repeats its computation nor grows past what code generation can compile."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def na_sum(value: Column | str) -> Column:
     """Sum that is NULL as soon as one input is NULL (mergeable, so it pre-aggregates map-side)."""
     value = as_col(value)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.formats import comma, dollar, whole_dollar
+from ..functions.formats import comma, dollar, has_cents, shows_cents, whole_dollar
 from ..functions.names import payer_identity
 from ..functions.semantics import na_sum
 from ..operators.joins import keep_unmatched_small, lookup_missing_as_null, nullsafe_join
@@ -166,12 +166,13 @@ def county_giving(contrib: DataFrame, zip_county: DataFrame) -> DataFrame:
     by_county = placed.groupBy(*CAMPAIGN, "county").agg(na_sum("amount").alias("amount"))
     # A campaign has at most one row per county here, so the exact percentile buffers one state's counties.
     breaks = by_county.groupBy(*CAMPAIGN).agg(
-        F.percentile(F.col("amount").cast("double"), F.array(*[F.lit(q) for q in BIN_QUANTILES])).alias("breaks")
+        F.percentile(F.col("amount").cast("double"), F.array(*[F.lit(q) for q in BIN_QUANTILES])).alias("breaks"),
+        shows_cents(F.max(F.abs("amount")), F.bool_or(has_cents(F.col("amount")))).alias("cents"),
     )
     binned = nullsafe_join(by_county, breaks, CAMPAIGN)
     binned = binned.withColumn("bin", bin_of(F.col("amount").cast("double"), F.col("breaks")).cast("bigint"))
-    label = F.concat(F.coalesce("county", F.lit("NA")), F.lit(" "), F.coalesce(dollar("amount"), F.lit("NA")))
-    return binned.drop("breaks").withColumn("label", label)
+    label = F.concat(F.coalesce("county", F.lit("NA")), F.lit(" "), F.coalesce(dollar("amount", F.col("cents")), F.lit("NA")))
+    return binned.drop("breaks").withColumn("label", label).drop("cents")
 
 
 def giving_map(contrib: DataFrame, zip_county: DataFrame, counties: DataFrame) -> DataFrame:

@@ -20,36 +20,40 @@ def roster_parties(roster: DataFrame) -> DataFrame:
     return keyed.groupBy("office", "nkey").agg(unanimous("party").alias("party")).filter(F.col("party").isNotNull())
 
 
-def match_roster(unresolved: DataFrame, roster: DataFrame) -> DataFrame:
-    """Unresolved candidates that the roster names: full name key first, first and last token for the rest.
+def roster_status(unresolved: DataFrame, roster: DataFrame) -> DataFrame:
+    """Every unresolved candidate with the roster's party, NULL where the roster does not help.
 
-    Both tiers join against unanimous, therefore unique, keys, so a candidate meets at most one roster row.
+    The full name key decides first, first and last token only for candidates the full key did not find. Both
+    tiers join against unanimous, therefore unique, keys, so a candidate stays one row and nothing is re-read
+    to find out who is left over.
     """
     listed = roster_parties(roster)
+    by_key = listed.withColumnRenamed("party", "_exact")
+    by_ends = listed.groupBy("office", first_last("nkey").alias("fl")).agg(unanimous("party").alias("_loose"))
     wanted = unresolved.select(*CANDIDATE, "office").withColumn("nkey", name_key("candidate"))
-    exact = nullsafe_join(wanted, listed, ["office", "nkey"])
-    rest = nullsafe_join(wanted, exact.select(*CANDIDATE), CANDIDATE, "left_anti")
-    loose_names = listed.withColumn("fl", first_last("nkey")).groupBy("office", "fl")
-    loose_names = loose_names.agg(unanimous("party").alias("party")).filter(F.col("party").isNotNull())
-    loose = nullsafe_join(rest.withColumn("fl", first_last("nkey")), loose_names, ["office", "fl"])
-    columns = [*CANDIDATE, "party"]
-    return exact.select(*columns).unionByName(loose.select(*columns)).distinct()
+    found = nullsafe_join(wanted, by_key, ["office", "nkey"], "left").withColumn("fl", first_last("nkey"))
+    found = nullsafe_join(found, by_ends, ["office", "fl"], "left")
+    return found.select(*CANDIDATE, "office", F.coalesce("_exact", "_loose").alias("party"))
 
 
-def match_rate(unresolved: DataFrame, matched: DataFrame) -> DataFrame:
+def matched_candidates(status: DataFrame) -> DataFrame:
+    return status.filter(F.col("party").isNotNull()).select(*CANDIDATE, "party").distinct()
+
+
+def match_rate(status: DataFrame) -> DataFrame:
     """Candidates asked for, matched, and the percentage, per year."""
-    asked = unresolved.groupBy("year").agg(F.count(F.lit(1)).alias("unresolved"))
-    found = matched.groupBy("year").agg(F.count(F.lit(1)).alias("matched"))
-    both = nullsafe_join(asked, found, ["year"], "left").fillna(0, ["matched"])
+    found = F.count_distinct(F.when(F.col("party").isNotNull(), F.struct(*CANDIDATE, "party")))
+    both = status.groupBy("year").agg(F.count(F.lit(1)).alias("unresolved"), found.alias("matched"))
     return both.withColumn("match_pct", F.bround(F.col("matched") * 100.0 / F.col("unresolved"), 0))
 
 
-def matched_by_office(unresolved: DataFrame, matched: DataFrame) -> DataFrame:
-    offices = unresolved.select(*CANDIDATE, "office")
-    joined = nullsafe_join(matched, offices, CANDIDATE, "left")
-    return joined.groupBy("office").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "office")
+def matched_by_office(status: DataFrame) -> DataFrame:
+    return _by_office(status.filter(F.col("party").isNotNull()))
+
+
+def unmatched_by_office(status: DataFrame) -> DataFrame:
+    return _by_office(status.filter(F.col("party").isNull()))
 
 
-def unmatched_by_office(unresolved: DataFrame, matched: DataFrame) -> DataFrame:
-    left = nullsafe_join(unresolved, matched, CANDIDATE, "left_anti")
-    return left.groupBy("office").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "office")
+def _by_office(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("office").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "office")
