@@ -6,6 +6,7 @@ each view is a lazy subquery, so pruning and pushdown reach the Parquet scans.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -383,24 +384,37 @@ def dialect(index: int) -> dict[str, str]:
 
 
 class Views:
-    """Attribute access to base tables and civic views of one data folder, e.g. ``Views(spark, d).contrib``."""
+    """Attribute access to base tables and civic views of one data folder, e.g. ``Views(spark, d).contrib``.
+
+    Base tables are registered as temporary views of the session once per folder, so footers are read once.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-
-    def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        self._prefix = "civic_" + hashlib.md5(self.folder.encode()).hexdigest()[:12]
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
+    def table(self, name: str) -> DataFrame:
+        view = f"{self._prefix}_{name}"
+        if not self.spark.catalog.tableExists(view):
+            self.spark.read.parquet(self.path(name)).createOrReplaceTempView(view)
+        return self.spark.table(view)
+
     def sql(self, text: str) -> DataFrame:
-        tables = {t: f"SELECT * FROM parquet.`{self.path(t)}`" for t in BASE_TABLES}
-        return self.spark.sql(with_clauses(text, dialect(0), tables))
+        tables = {t: f"SELECT * FROM {self._prefix}_{t}" for t in BASE_TABLES}
+        statement = with_clauses(text, dialect(0), tables)
+        for name in _needed(statement, BASE_TABLES):
+            self.table(name)
+        return self.spark.sql(statement)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
-            return self.sql(f"SELECT * FROM {name}")
-        if name in BASE_TABLES:
-            return self.table(name)
-        raise AttributeError(name)
+            df = self.sql(f"SELECT * FROM {name}")
+        elif name in BASE_TABLES:
+            df = self.table(name)
+        else:
+            raise AttributeError(name)
+        self.__dict__[name] = df
+        return df

@@ -15,7 +15,10 @@ from ..sources.pages import roster_items
 def extract_new_pages(
     spark: SparkSession, path: str, schema: StructType | str, out: str, checkpoint: str, prepare=lambda pages: pages
 ) -> DataFrame:
-    """Append roster items of unread page files to ``out`` and return the distinct rows saved so far."""
+    """Append roster items of unread page files to ``out`` and return the distinct rows saved so far.
+
+    ``path`` is a folder or a glob of Parquet files.
+    """
     pages = spark.readStream.schema(schema).parquet(path)
 
     def save(batch: DataFrame, batch_id: int) -> None:
