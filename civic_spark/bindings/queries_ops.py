@@ -425,7 +425,7 @@ def _(v):
     slots = win.candidate_slots(long, KEYS, "unit").filter(F.col("slot") <= win.SLOTS)
     placed = nullsafe_join(long, slots, [*KEYS, "candidate"])
     wide = placed.groupBy(*KEYS, "unit").agg(*win.slot_columns())
-    return wide.drop(*[f"can{n}" for n in range(1, 5)])
+    return wide.drop(*[f"can{n}{end}" for n in range(1, 5) for end in ("", "_total")])
 
 
 _FIELD = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -517,7 +517,7 @@ def _(v):
     return fill_days(daily, ["user_id"], "day", ["n"])
 
 
-@query("win_first_appearance", f"SELECT {CONTEST}, candidate, slot, n_candidates FROM ({s.slots('d_county_long', CONTEST)}) AS t")
+@query("win_first_appearance", f"SELECT {CONTEST}, candidate, slot, n_candidates, contest_votes FROM ({s.slots('d_county_long', CONTEST)}) AS t")
 def _(v):
     return win.candidate_slots(long_counties(v).withColumn("unit", F.col("county")), KEYS, "unit")
 

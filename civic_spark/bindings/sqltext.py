@@ -200,25 +200,25 @@ LABEL = (
 
 def slots(source: str, contest: str) -> str:
     return f"""SELECT {contest}, candidate, row_number() OVER (PARTITION BY {contest} ORDER BY first_unit, candidate) AS slot,
-        count(*) OVER (PARTITION BY {contest}) AS n_candidates
-        FROM (SELECT {contest}, candidate, min(unit) AS first_unit FROM {source} GROUP BY {contest}, candidate) AS firsts"""
+        count(*) OVER (PARTITION BY {contest}) AS n_candidates, contest_votes
+        FROM (SELECT {contest}, candidate, min(unit) AS first_unit, {nasum()} AS contest_votes FROM {source} GROUP BY {contest}, candidate) AS firsts"""
 
 
 def wide(source: str, contest: str, prize: str, ties: bool) -> str:
     cols = ", ".join(
-        f"max(CASE WHEN slot = {n} THEN candidate END) AS can{n}, "
+        f"max(CASE WHEN slot = {n} THEN candidate END) AS can{n}, max(CASE WHEN slot = {n} THEN contest_votes END) AS can{n}_total, "
         f"CAST(sum(CASE WHEN slot = {n} THEN votes END) AS BIGINT) AS can{n}_votes"
         for n in range(1, 5)
     )
     shares = ", ".join(f"can{n}_votes / nullif(CAST(total_votes AS DOUBLE), 0) AS can{n}_pct" for n in range(1, 5))
-    joined = f"(SELECT s.*, t.slot, t.n_candidates FROM {source} s JOIN ({slots(source, contest)}) t USING ({contest}, candidate) WHERE n_candidates BETWEEN 2 AND 4)"
+    joined = f"(SELECT s.*, t.slot, t.n_candidates, t.contest_votes FROM {source} s JOIN ({slots(source, contest)}) t USING ({contest}, candidate) WHERE n_candidates BETWEEN 2 AND 4)"
     units = winners(joined, f"{contest}, unit", prize, ties, f"{cols}, max(n_candidates) AS n_candidates")
     return f"SELECT * EXCLUDE (winning_votes, winning_share), {shares} FROM ({units}) AS u"
 
 
 def listed(source: str, prize: str, ties: bool) -> str:
-    joined = f"(SELECT s.* FROM {source} s JOIN ({slots(source, CONTEST)}) t USING ({CONTEST}, candidate) WHERE n_candidates NOT BETWEEN 2 AND 4)"
-    return f"""SELECT {CONTEST}, unit, winner, candidate, votes FROM {joined} AS l
+    joined = f"(SELECT s.*, t.contest_votes FROM {source} s JOIN ({slots(source, CONTEST)}) t USING ({CONTEST}, candidate) WHERE n_candidates NOT BETWEEN 2 AND 4)"
+    return f"""SELECT {CONTEST}, unit, winner, candidate, votes, contest_votes FROM {joined} AS l
         JOIN (SELECT {CONTEST}, unit, winner FROM ({winners(joined, CONTEST + ", unit", prize, ties)}) AS w1) AS w
         USING ({CONTEST}, unit)"""
 

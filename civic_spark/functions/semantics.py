@@ -42,13 +42,16 @@ def not_in(value: Column | str, allowed: Iterable[str]) -> Column:
     return ~F.coalesce(as_col(value).isin(*allowed), F.lit(False))
 
 
-def unanimous(value: Column | str) -> Column:
-    """The single distinct value of a group, NULL when the group disagrees or holds a NULL.
+def unanimous(value: Column | str, skip_nulls: bool = False) -> Column:
+    """The single distinct value of a group, NULL when the group disagrees.
 
-    min = max decides it, which merges in constant memory where a distinct count would not.
+    A NULL counts as disagreement unless NULLs are skipped. min = max decides, which merges in constant memory
+    where a distinct count would not.
     """
     value = as_col(value)
-    agree = ~F.bool_or(value.isNull()) & (F.min(value) == F.max(value))
+    agree = F.min(value) == F.max(value)
+    if not skip_nulls:
+        agree = agree & ~F.bool_or(value.isNull())
     return F.when(agree, F.min(value))
 
 

@@ -13,13 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def nullsafe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def nullsafe_join(
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", never_null: tuple[str, ...] | list[str] = ()
+) -> DataFrame:
     """Equi join where NULL keys match each other; keeps one copy of the keys.
 
-    ``eqNullSafe`` is still planned as a hash or sort-merge join.
+    ``eqNullSafe`` is still planned as a hash or sort-merge join, but on two derived expressions per key, which
+    hides an existing partitioning. Keys listed in ``never_null`` are compared with plain equality instead.
     """
     renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in on})
-    matches = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in on])
+    pairs = [(k, F.col(k), F.col(f"__right_{k}")) for k in on]
+    matches = reduce(Column.__and__, [a == b if k in never_null else a.eqNullSafe(b) for k, a, b in pairs])
     joined = left.join(renamed, matches, how)
     return joined.drop(*[f"__right_{k}" for k in on])
 
@@ -35,18 +39,6 @@ def lookup_missing_as_null(df: DataFrame, dim: DataFrame, key: str, dim_key: str
     return df.join(dim, df[key] == dim[dim_key], "left").drop(dim[dim_key])
 
 
-def keep_unmatched_small(small: DataFrame, big: DataFrame, on: list[str]) -> DataFrame:
-    """``small LEFT JOIN big`` without shuffling ``big`` on its (possibly hot) key.
-
-    A left outer join can only broadcast its right side, so the direct form would shuffle the big side
-    onto a few keys. Splitting it into the inner part, where either side may be broadcast, and the
-    unmatched dimension rows, decided against the distinct keys only, gives the same rows.
-    """
-    inner = nullsafe_join(small, big, on, "inner")
-    unmatched = nullsafe_join(small, big.select(*on).distinct(), on, "left_anti")
-    return inner.unionByName(unmatched, allowMissingColumns=True)
-
-
 def layer_for_year(year: Column, versions: list[tuple[str, int | None, int | None]]) -> Column:
     """Which dated layer serves a year, so that the range join becomes an equi join on the layer name."""
     layer = F.lit(None).cast("string")

@@ -10,9 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import nullsafe_join
-
-SLICES = 256
+SLICES = 64
 
 
 def linear_rank(p: float, n: Column) -> Column:
@@ -28,13 +26,13 @@ def midpoint_rank(p: float, n: Column) -> Column:
 def grouped_quantiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float], rank=linear_rank, slices: int = SLICES
 ) -> DataFrame:
-    """One row per group with a DOUBLE column per named probability; NULL values are left out."""
+    """One row per group with a DOUBLE column per named probability; NULL keys and values are left out."""
     data = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     counted = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     cuts = F.percentile_approx("_v", [i / slices for i in range(1, slices)], 10 * slices)
-    edges = counted.groupBy(*keys).agg(cuts.alias("_cuts"), F.sum("_n").alias("_size"))
-    placed = nullsafe_join(counted, edges, keys).withColumn(
-        "_slice", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("_v")))
+    edges = counted.groupBy(*keys).agg(F.array_distinct(cuts).alias("_cuts"), F.sum("_n").alias("_size"))
+    placed = counted.join(edges, keys).withColumn(
+        "_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     )
     sliced = placed.groupBy(*keys, "_slice", "_size").agg(F.sum("_n").alias("_in_slice"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -54,7 +52,9 @@ def grouped_quantiles(
             lambda w: ((w["lo"] >= F.col("_start")) & (w["lo"] < end)) | ((w["hi"] >= F.col("_start")) & (w["hi"] < end)),
         ),
     ).filter(F.size("_wanted") > 0)
-    inside = nullsafe_join(placed.select(*keys, "_slice", "_v", "_n"), hits.select(*keys, "_slice", "_start", "_wanted"), [*keys, "_slice"])
+    inside = placed.select(*keys, "_slice", "_v", "_n").join(
+        hits.select(*keys, "_slice", "_start", "_wanted"), [*keys, "_slice"]
+    )
     running = Window.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = inside.withColumn("_last", F.col("_start") + F.sum("_n").over(running) - 1)
     ranked = ranked.withColumn("_first", F.col("_last") - F.col("_n") + 1)

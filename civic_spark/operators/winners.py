@@ -79,17 +79,22 @@ def unit_winners(rows: DataFrame, unit: list[str], prize: str = "party", ties: b
 def winner_beside(rows: DataFrame, unit: list[str], prize: str = "party", ties: bool = True) -> DataFrame:
     """Every row of a unit with the unit's winner and total beside it.
 
-    Joins the per-unit summary back instead of opening a window, so that a hot unit can still be split.
+    Joins the per-unit summary back instead of opening a window, so that a hot unit can still be split. The unit
+    columns must not be NULL.
     """
-    return nullsafe_join(rows, unit_winners(rows, unit, prize, ties), unit, "left")
+    return rows.join(unit_winners(rows, unit, prize, ties), unit)
 
 
 def candidate_slots(rows: DataFrame, contest: list[str], unit: str) -> DataFrame:
     """Number the candidates of a contest in order of first appearance in (unit, candidate) order.
 
-    The window sees one row per candidate of a contest, i.e. the length of a ballot.
+    The window sees one row per candidate of a contest, i.e. the length of a ballot. The candidate's votes in the
+    whole contest come along: they head the candidate's column, and reading the same columns as the rows do lets
+    Spark reuse the rows' shuffle instead of computing them a second time.
     """
-    firsts = rows.groupBy(*contest, "candidate").agg(F.min(unit).alias("first_unit"))
+    firsts = rows.groupBy(*contest, "candidate").agg(
+        F.min(unit).alias("first_unit"), na_sum("votes").alias("contest_votes")
+    )
     ballot = Window.partitionBy(*contest)
     order = ballot.orderBy(F.col("first_unit").asc_nulls_last(), F.col("candidate").asc_nulls_last())
     return firsts.select(
@@ -97,16 +102,19 @@ def candidate_slots(rows: DataFrame, contest: list[str], unit: str) -> DataFrame
         "candidate",
         F.row_number().over(order).cast("bigint").alias("slot"),
         F.count(F.lit(1)).over(ballot).alias("n_candidates"),
+        "contest_votes",
     )
 
 
 def slot_columns(slots: int = SLOTS) -> list[Column]:
-    """Aggregates ``canN`` (name) and ``canN_votes``; the fixed list avoids a job to discover columns."""
+    """Aggregates ``canN`` (name), ``canN_total`` (its heading) and ``canN_votes``; the fixed list avoids a job to
+    discover columns."""
     columns = []
     for n in range(1, slots + 1):
         here = F.col("slot") == n
         columns += [
             F.max(F.when(here, F.col("candidate"))).alias(f"can{n}"),
+            F.max(F.when(here, F.col("contest_votes"))).alias(f"can{n}_total"),
             F.sum(F.when(here, F.col("votes"))).alias(f"can{n}_votes"),
         ]
     return columns

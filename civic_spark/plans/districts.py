@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.colors import step_fill
 from ..functions.semantics import na_paste
 from ..operators import winners as win
-from ..operators.joins import keep_unmatched_small, nullsafe_join
+from ..operators.joins import nullsafe_join
 from ..operators.spatial import points_in_polygons
 from ..sources.tables import county_fips, voting_district
 from .elections import CONTEST, WHOLE_COUNTY
@@ -82,7 +82,7 @@ def district_detail(rows: DataFrame) -> DataFrame:
     units = units.withColumn("unit", F.concat_ws(" - ", F.upper("county"), "precinct"))
     long = win.totals(units, [*key, "unit"])
     slots = win.candidate_slots(long, key, "unit").filter(F.col("n_candidates").between(2, win.SLOTS))
-    placed = nullsafe_join(long, slots, [*key, "candidate"])
+    placed = nullsafe_join(long, slots, [*key, "candidate"], never_null=key)
     wide = win.unit_winners(placed, [*key, "unit"], extra=[*win.slot_columns(), F.max("n_candidates").alias("n_candidates")])
     return win.with_slot_shares(wide).drop("winning_votes", "winning_share")
 
@@ -92,11 +92,11 @@ def district_map(rows: DataFrame, fips: DataFrame, precinct_shapes: DataFrame) -
     unit = [*DISTRICT, *CONTEST, "county", "precinct"]
     units = win.unit_winners(rows, unit, extra=[win.vote_label().alias("label")])
     painted = units.withColumn("fill_col", step_fill("winner", "winning_share"))
-    coded = nullsafe_join(painted, fips, ["county"], "left").withColumns(
+    coded = painted.join(fips, "county", "left").withColumns(
         {"vtdst": voting_district("precinct"), "countyfp": county_fips("fips")}
     )
     shapes = precinct_shapes.filter(F.col("layer") == "precincts")
-    return nullsafe_join(coded, shapes, ["countyfp", "vtdst"])
+    return coded.join(shapes, ["countyfp", "vtdst"])
 
 
 def plan_layers(layers: dict[str, DataFrame]) -> DataFrame:
@@ -142,7 +142,7 @@ def district_candidates_map(plan: DataFrame, candidates: DataFrame, chamber: str
     """Districts of a plan with their candidates; empty ones are white, senate seats not up this year black."""
     people = candidate_directory(candidates.filter(F.col("office") == CHAMBER_OFFICE[chamber]))
     shapes = plan.withColumn("district", F.replace("district", F.lit("District "), F.lit("")))
-    shown = keep_unmatched_small(shapes, people, ["district"])
+    shown = shapes.join(people, "district", "left")
     fill = F.coalesce("fill", F.lit(NOBODY))
     if chamber == "Senate":
         up = F.col("district").try_cast("int") % 2 != 0

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.colors import ramp_fill, ramp_position
 from ..functions.semantics import title_case
 from ..operators import winners as win
-from ..operators.joins import keep_unmatched_small, layer_for_year, nullsafe_join
+from ..operators.joins import layer_for_year, nullsafe_join
 from ..operators.spatial import bbox_columns
 from ..sources.tables import county_fips, voting_district
 
@@ -31,8 +31,11 @@ PRECINCT_LAYERS = [
 
 
 def contest_rows(election_data: DataFrame, counties: list[str] | None = None, **contest) -> DataFrame:
-    """Result rows without exact duplicates, optionally of one year, election, race and set of counties."""
-    rows = election_data.select(*GRAIN)
+    """Result rows without exact duplicates, optionally of one year, election, race and set of counties.
+
+    Contests and counties are picked by equality, so rows without them belong to none.
+    """
+    rows = election_data.select(*GRAIN).dropna(subset=[*CONTEST, "county"])
     for column, value in contest.items():
         rows = rows.filter(F.col(column) == (value.lower() if column == "election" else value))
     if counties is not None:
@@ -60,7 +63,7 @@ def _wide(long: DataFrame, prize: str, ties: bool) -> DataFrame:
     """One row per unit with up to four candidate slots, for contests with two to four candidates."""
     slots = win.candidate_slots(long, CONTEST, "unit")
     fitting = slots.filter(F.col("n_candidates").between(2, win.SLOTS))
-    placed = nullsafe_join(long, fitting, [*CONTEST, "candidate"])
+    placed = nullsafe_join(long, fitting, [*CONTEST, "candidate"], never_null=CONTEST)
     wide = win.unit_winners(
         placed, [*CONTEST, "unit"], prize, ties, [*win.slot_columns(), F.max("n_candidates").alias("n_candidates")]
     )
@@ -71,9 +74,9 @@ def _listed(long: DataFrame, prize: str, ties: bool) -> DataFrame:
     """One row per unit and candidate, for contests whose candidates do not fit the slots."""
     slots = win.candidate_slots(long, CONTEST, "unit")
     others = slots.filter(~F.col("n_candidates").between(2, win.SLOTS))
-    placed = nullsafe_join(long, others.select(*CONTEST, "candidate"), [*CONTEST, "candidate"])
+    placed = nullsafe_join(long, others, [*CONTEST, "candidate"], never_null=CONTEST)
     beside = win.winner_beside(placed, [*CONTEST, "unit"], prize, ties)
-    return beside.select(*CONTEST, "unit", "winner", "candidate", "votes")
+    return beside.select(*CONTEST, "unit", "winner", "candidate", "votes", "contest_votes")
 
 
 def county_table(rows: DataFrame) -> DataFrame:
@@ -102,8 +105,8 @@ def precinct_counts(rows: DataFrame) -> DataFrame:
 def detail_table(rows: DataFrame, max_units: int = MAX_PRECINCTS) -> DataFrame:
     """Precinct detail for contests of at most ``max_units`` units, county detail for larger ones."""
     counted = precinct_counts(rows)
-    small = nullsafe_join(rows, counted.filter(F.col("n_units") <= max_units), CONTEST, "left_semi")
-    large = nullsafe_join(rows, counted.filter(F.col("n_units") > max_units), CONTEST, "left_semi")
+    small = rows.join(counted.filter(F.col("n_units") <= max_units), CONTEST, "left_semi")
+    large = rows.join(counted.filter(F.col("n_units") > max_units), CONTEST, "left_semi")
     precincts = precinct_table(small).withColumn("detail", F.lit("Precinct"))
     return precincts.unionByName(county_table(large).withColumn("detail", F.lit("County")))
 
@@ -114,11 +117,15 @@ def primary_rank(rows: DataFrame) -> DataFrame:
 
 
 def map_rows(rows: DataFrame) -> DataFrame:
-    """Rows as the maps colour them: a primary shows the rank of its candidates, whatever their party."""
-    general = rows.filter(F.col("election") != "primary")
-    primary = rows.filter(F.col("election") == "primary").drop("party")
-    ranks = primary_rank(rows.filter(F.col("election") == "primary")).select(*CONTEST, "candidate", "party")
-    return general.unionByName(nullsafe_join(primary, ranks, [*CONTEST, "candidate"], "left"))
+    """Rows as the maps colour them: a primary shows the rank of its candidates, whatever their party.
+
+    Ranks are taken for every contest, not just primaries, so that both sides read the same de-duplicated rows
+    and share one shuffle.
+    """
+    ranks = primary_rank(rows).select(*CONTEST, "candidate", F.col("party").alias("_rank"))
+    ranked = nullsafe_join(rows, ranks, [*CONTEST, "candidate"], "left", never_null=CONTEST)
+    party = F.when(F.col("election") == "primary", F.col("_rank")).otherwise(F.col("party"))
+    return ranked.withColumn("party", party).drop("_rank")
 
 
 def _painted(units: DataFrame) -> DataFrame:
@@ -138,18 +145,21 @@ def county_map_results(rows: DataFrame) -> DataFrame:
 
 
 def county_map(rows: DataFrame, counties: DataFrame) -> DataFrame:
-    """County shapes with their results; counties without results stay, with no contest and no fill."""
+    """County shapes with their results; counties without results stay, with no contest and no fill.
+
+    A county has one result row per contest, so no county is a hot join key.
+    """
     shapes = counties.withColumn("county", F.lower("name"))
-    return keep_unmatched_small(shapes, county_map_results(rows), ["county"])
+    return shapes.join(county_map_results(rows), "county", "left")
 
 
 def precinct_map_results(rows: DataFrame, fips: DataFrame, max_units: int = MAX_PRECINCTS) -> DataFrame:
     """Winner or Tie, share, label, fill and shape codes of every precinct, for contests of limited size."""
     counted = precinct_counts(rows).filter(F.col("n_units") <= max_units)
-    shown = nullsafe_join(map_rows(rows), counted, CONTEST, "left_semi")
+    shown = map_rows(rows).join(counted, CONTEST, "left_semi")
     unit = [*CONTEST, "county", "precinct"]
     units = _painted(win.unit_winners(shown, unit, extra=[win.vote_label().alias("label")]))
-    coded = nullsafe_join(units, fips, ["county"], "left")
+    coded = units.join(fips, "county", "left")
     return coded.withColumns(
         {
             "vtdst": voting_district("precinct"),
@@ -164,7 +174,7 @@ def precinct_map(
 ) -> DataFrame:
     """Precinct results on the shapes of the layer that was in force in the election year."""
     results = precinct_map_results(rows, fips, max_units)
-    return nullsafe_join(results, precinct_shapes, ["layer", "countyfp", "vtdst"])
+    return results.join(precinct_shapes, ["layer", "countyfp", "vtdst"])
 
 
 def shown_extent(shapes: DataFrame, keys: list[str]) -> DataFrame:

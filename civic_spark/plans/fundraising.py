@@ -6,13 +6,13 @@ anything else happens, so a campaign holding a third of all rows shrinks on the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formats import comma, dollar, has_cents, shows_cents, whole_dollar
 from ..functions.names import payer_identity
 from ..functions.semantics import na_sum
-from ..operators.joins import keep_unmatched_small, lookup_missing_as_null, nullsafe_join
+from ..operators.joins import lookup_missing_as_null
 from ..operators.quantiles import bin_of, grouped_quantiles, midpoint_rank
 from ..operators.reshape import to_long
 from ..operators.series import fill_days, running_totals
@@ -103,7 +103,7 @@ def finance_totals(contrib: DataFrame, expend: DataFrame) -> DataFrame:
         _whole("pac").alias("pac_contrib"),
     )
     spent = expend.groupBy(*CAMPAIGN).agg(F.sum("disbursement_amount").alias("total_spend"))
-    both = nullsafe_join(raised, spent, CAMPAIGN, "left")
+    both = raised.join(spent, CAMPAIGN, "left")
     both = both.withColumn("total_spend", F.coalesce("total_spend", F.lit(0)))
     return both.withColumn("cash_on_hand", F.col("total_raise") - F.col("total_spend"))
 
@@ -134,8 +134,9 @@ def burn_rate(contrib: DataFrame, expend: DataFrame) -> DataFrame:
         F.sum("disbursement_amount").alias("amount"), F.bool_or(F.col("disbursement_amount").isNull()).alias("gap")
     )
     sides = given.withColumn("side", F.lit("in")).unionByName(paid.withColumn("side", F.lit("out")))
-    first_day = sides.groupBy(*CAMPAIGN).agg(F.min("date").alias("first_day"))
-    dated = nullsafe_join(sides, first_day, CAMPAIGN).withColumn("date", F.coalesce("date", "first_day"))
+    # Two rows per campaign and day at most from here on, and one partitioning serves everything below.
+    campaign = Window.partitionBy(*CAMPAIGN)
+    dated = sides.withColumn("date", F.coalesce(F.col("date"), F.min("date").over(campaign)))
 
     def of(side: str) -> Column:
         mine = F.col("side") == side
@@ -169,17 +170,20 @@ def county_giving(contrib: DataFrame, zip_county: DataFrame) -> DataFrame:
         F.percentile(F.col("amount").cast("double"), F.array(*[F.lit(q) for q in BIN_QUANTILES])).alias("breaks"),
         shows_cents(F.max(F.abs("amount")), F.bool_or(has_cents(F.col("amount")))).alias("cents"),
     )
-    binned = nullsafe_join(by_county, breaks, CAMPAIGN)
+    binned = by_county.join(breaks, CAMPAIGN)
     binned = binned.withColumn("bin", bin_of(F.col("amount").cast("double"), F.col("breaks")).cast("bigint"))
     label = F.concat(F.coalesce("county", F.lit("NA")), F.lit(" "), F.coalesce(dollar("amount", F.col("cents")), F.lit("NA")))
     return binned.drop("breaks").withColumn("label", label).drop("cents")
 
 
 def giving_map(contrib: DataFrame, zip_county: DataFrame, counties: DataFrame) -> DataFrame:
-    """County shapes with giving; counties that gave nothing stay, with no campaign."""
+    """County shapes with giving; counties that gave nothing stay, with no campaign.
+
+    A county has one row per campaign, so no county is a hot join key.
+    """
     giving = county_giving(contrib, zip_county).withColumn("name", F.upper("county"))
     shapes = counties.withColumn("name", F.upper("name"))
-    return keep_unmatched_small(shapes, giving, ["name"])
+    return shapes.join(giving, "name", "left")
 
 
 def out_of_state(contrib: DataFrame, home: str = HOME_STATE) -> DataFrame:

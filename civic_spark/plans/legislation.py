@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import digits_number, na_paste
-from ..operators.joins import nullsafe_join
 from ..operators.reshape import count_by_value, prefixed, to_long
 
 BILL = ["session", "bill_num"]

@@ -61,15 +61,16 @@ def resolve_parties(election_data: DataFrame, race_lookup: DataFrame, overrides:
     general = nullsafe_join(general, crosswalk, ["race"], "left").withColumn("nkey", name_key("candidate"))
     person = ["year", "office", "district", "nkey"]
     known = general.groupBy(*person).agg(unanimous("party").alias("general_cand"))
-    primary = nullsafe_join(primary, known, person, "left")
+    primary = nullsafe_join(primary, known, person, "left", never_null=["year"])
 
-    signal = primary.filter(F.col("general_cand").isNotNull())
-    signal = signal.groupBy("year", "race").agg(unanimous("general_cand").alias("race_party"))
+    # NULLs are skipped inside the aggregate: a filter here would be pushed down and keep Spark from reusing the
+    # shuffles that the main branch has just done.
+    signal = primary.groupBy("year", "race").agg(unanimous("general_cand", skip_nulls=True).alias("race_party"))
     by_candidate = overrides.filter(F.col("candidate") != "").select(*CANDIDATE, F.col("party").alias("mc")).distinct()
     by_race = overrides.filter(F.col("candidate") == "").select("year", "race", F.col("party").alias("mr")).distinct()
 
-    joined = nullsafe_join(primary, by_candidate, CANDIDATE, "left")
-    joined = nullsafe_join(joined, by_race, ["year", "race"], "left")
+    joined = nullsafe_join(primary, by_candidate, CANDIDATE, "left", never_null=["year"])
+    joined = nullsafe_join(joined, by_race, ["year", "race"], "left", never_null=["year"])
     joined = nullsafe_join(joined, signal, ["year", "race"], "left")
 
     open_race = not_in("office_level", PARTISAN_LEVELS)
@@ -122,7 +123,7 @@ def worksheet_seed(lookup: DataFrame) -> DataFrame:
     )
     races = races.filter("partisan")
     whole = races.filter(~F.col("any_resolved")).select("year", "race", F.lit("").alias("candidate"), F.lit("").alias("party"))
-    partly = nullsafe_join(lookup, races.filter("any_resolved"), ["year", "race"], "left_semi")
+    partly = nullsafe_join(lookup, races.filter("any_resolved"), ["year", "race"], "left_semi", never_null=["year"])
     single = partly.filter(partisan & F.col("party").isNull()).select(*CANDIDATE, F.lit("").alias("party"))
     return whole.unionByName(single).orderBy(*CANDIDATE)
 
@@ -145,7 +146,7 @@ def primary_split(rows: DataFrame, party_lookup: DataFrame) -> DataFrame:
     """
     primary = rows.filter(F.col("election") == "primary")
     known = party_lookup.select(*CANDIDATE, F.col("party").alias("known_party"))
-    marked = nullsafe_join(primary, known, CANDIDATE, "left")
+    marked = nullsafe_join(primary, known, CANDIDATE, "left", never_null=["year", "race"])
     own = F.when(F.col("known_party").isin(*PRIMARY_PARTIES), F.col("known_party")).when(
         F.col("known_party").isNull(), UNLABELED
     )
