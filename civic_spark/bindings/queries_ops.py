@@ -18,6 +18,7 @@ from ..plans import elections, fundraising, legislation, primaries
 from ..sources import pages, sinks, tables
 from ..streaming.incremental import extract_new_pages
 from . import sqltext as s
+from .queries_results import race_lookup
 from .registry import query
 from .views import BASE_TABLES, Views, dialect
 
@@ -47,8 +48,9 @@ def _(v):
     "SELECT county, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS amount FROM contrib LEFT JOIN zip_county ON zip = CAST(zip_code AS VARCHAR) GROUP BY county",
 )
 def _(v):
-    placed = lookup_missing_as_null(v.contrib.select("zip", "amount"), tables.zip_dimension(v.zip_county), "zip", "zip_code")
-    return placed.groupBy("county").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+    by_zip = v.contrib.groupBy("zip").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+    placed = lookup_missing_as_null(by_zip, tables.zip_dimension(v.zip_county), "zip", "zip_code")
+    return placed.groupBy("county").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
 
 
 @query(
@@ -94,7 +96,7 @@ def _(v):
 @query("sink_csv", "SELECT year, race, candidate, party, office_level FROM (SELECT DISTINCT b.year, b.race, candidate, party, office_level FROM ballots b LEFT JOIN d_lookup l ON b.race = l.race) AS t")
 def _(v):
     folder = sinks.shared_folder(v.spark)
-    rows = nullsafe_join(v.ballots, primaries.race_crosswalk(v.ballots).filter(~F.col("race").startswith("WATER")), ["race"], "left")
+    rows = nullsafe_join(v.ballots, race_lookup(v), ["race"], "left")
     rows = rows.select("year", "race", "candidate", "party", "office_level").distinct()
     sinks.write_csv(rows, folder)
     return tables.scan_csv(v.spark, folder, "year BIGINT, race STRING, candidate STRING, party STRING, office_level STRING")
@@ -173,7 +175,7 @@ def _(v):
 @query("filter_not_in_nullsafe", f"SELECT DISTINCT b.race, office_level FROM ballots b LEFT JOIN d_lookup l ON b.race = l.race WHERE office_level IS NULL OR office_level NOT IN {PARTISAN}")
 def _(v):
     races = v.ballots.select("race").distinct()
-    lookup = primaries.race_crosswalk(v.ballots).filter(~F.col("race").startswith("WATER")).select("race", "office_level")
+    lookup = race_lookup(v).select("race", "office_level")
     return nullsafe_join(races, lookup, ["race"], "left").filter(sem.not_in("office_level", offices.PARTISAN_LEVELS))
 
 
@@ -247,7 +249,7 @@ def _(v):
 
 @query("join_left_lookup", "SELECT b.year, b.race, b.candidate, office, district FROM ballots b LEFT JOIN d_lookup l ON b.race = l.race")
 def _(v):
-    lookup = primaries.race_crosswalk(v.ballots).filter(~F.col("race").startswith("WATER"))
+    lookup = race_lookup(v)
     return nullsafe_join(v.ballots, lookup, ["race"], "left").select("year", "race", "candidate", "office", "district")
 
 
@@ -271,7 +273,7 @@ def _(v):
         AND p.office IS NOT DISTINCT FROM g.office AND p.district IS NOT DISTINCT FROM g.district AND p.nkey IS NOT DISTINCT FROM g.nkey GROUP BY ALL""",
 )
 def _(v):
-    lookup = primaries.race_crosswalk(v.ballots).filter(~F.col("race").startswith("WATER")).select("race", "office", "district")
+    lookup = race_lookup(v).select("race", "office", "district")
     keyed = nullsafe_join(v.ballots, lookup, ["race"], "left").withColumn("nkey", names.name_key("candidate"))
     primary = keyed.filter(F.col("election") == "primary").select("year", "race", "candidate", "office", "district", "nkey").distinct()
     general = keyed.filter((F.col("election") == "general") & F.col("party").isin("REP", "DEM"))

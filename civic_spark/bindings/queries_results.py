@@ -23,18 +23,23 @@ def contest_rows(v: Views):
 
 
 def race_lookup(v: Views):
-    """Crosswalk of the ballot races, a few of them left out to exercise the fallbacks."""
-    return primaries.race_crosswalk(v.ballots).filter(~F.col("race").startswith("WATER"))
+    """Stored crosswalk of the ballot races, a few of them left out to exercise the fallbacks."""
+    return v.stored("race_lookup", lambda: primaries.race_crosswalk(v.ballots).filter(~F.col("race").startswith("WATER")))
 
 
 def overrides(v: Views):
     return tables.clean_overrides(v.manual_raw)
 
 
-def parties(v: Views):
+def resolved(v: Views):
     return primaries.resolve_parties(v.ballots, race_lookup(v), overrides(v))
 
 
+def parties(v: Views):
+    """Stored party lookup, the table that pick lists, splits and worksheets read."""
+    return v.stored("primary_party_lookup", lambda: resolved(v))
+
+
 def unresolved(v: Views):
     return primaries.unresolved_candidates(parties(v))
 
@@ -224,7 +229,7 @@ def _(v):
 
 @query("primary_party_resolve", "SELECT year, race, candidate, office, office_level, party, source FROM d_ppl")
 def primary_party_resolve(v):
-    return parties(v)
+    return resolved(v)
 
 
 _SOURCE_COUNTS = ", ".join(f"count(*) FILTER (source = '{x}') AS {x}" for x in primaries.SOURCES)

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.sinks import run_job, shared_folder
+
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -391,6 +393,7 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._stored: dict[str, DataFrame] = {}
         self._prefix = "civic_" + hashlib.md5(self.folder.encode()).hexdigest()[:12]
 
     def path(self, name: str) -> str:
@@ -409,6 +412,17 @@ class Views:
             self.table(name)
         return self.spark.sql(statement)
 
+    def stored(self, name: str, build) -> DataFrame:
+        """Result of a lookup job as the table its consumers read: written once per ``Views`` to the shared folder.
+
+        This is the boundary between the offline jobs and the queries on top of them. It also gives Spark the
+        table's real size, so the broadcast decision is made on facts.
+        """
+        if name not in self._stored:
+            folder = shared_folder(self.spark)
+            self._stored[name] = run_job(build(), folder, write=True)
+        return self._stored[name]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             df = self.sql(f"SELECT * FROM {name}")
