@@ -35,7 +35,9 @@ def contest_rows(election_data: DataFrame, counties: list[str] | None = None, **
 
     Contests and counties are picked by equality, so rows without them belong to none.
     """
-    rows = election_data.select(*GRAIN).dropna(subset=[*CONTEST, "county"])
+    rows = election_data.select(*GRAIN)
+    for column in [*CONTEST, "county"]:
+        rows = rows.filter(F.col(column).isNotNull())
     for column, value in contest.items():
         rows = rows.filter(F.col(column) == (value.lower() if column == "election" else value))
     if counties is not None:

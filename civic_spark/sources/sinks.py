@@ -21,9 +21,10 @@ def overwrite_table(df: DataFrame, path: str, sort_by: list[str] | None = None)
     (df.sortWithinPartitions(*sort_by) if sort_by else df).write.mode("overwrite").parquet(path)
 
 
-def bucketed_table(df: DataFrame, table: str, keys: list[str], buckets: int) -> None:
+def bucketed_table(df: DataFrame, table: str, keys: list[str], buckets: int, path: str) -> None:
     """Replace a catalog table bucketed on its key, so later joins on the key need no shuffle of it."""
-    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").option("path", path)
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
 
 
 def append_table(df: DataFrame, path: str) -> None:
