@@ -6,12 +6,14 @@ import re
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from civic_spark.bindings import queries_ops, queries_results  # noqa: F401  (registers the queries)
+from civic_spark.bindings.registry import ORACLES, QUERIES
 
 from .compare import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = queries(), oracle_sql()
+SQL = ORACLES
 
 
 @pytest.fixture(scope="module")
