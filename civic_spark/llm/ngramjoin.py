@@ -145,16 +145,18 @@ def join(docs: DataFrame, n: int = 5, least: float = 0.8, recall: float = 0.9999
 
 def _candidates(classes: DataFrame, bands: int, block_rows: int, block_bytes: int) -> DataFrame:
     """``rep, copies, bands, band, block``: each text once for every block in which it meets another for the first time."""
-    members = classes.select("rep", "copies", "bytes", "bands", F.posexplode("bands").alias("band", "bucket"))
+    members = classes.select("rep", "bytes", F.posexplode("bands").alias("band", "bucket"))
     sizes = members.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).where("n > 1")
     cuts = F.greatest(F.ceil(F.col("n") / F.lit(block_rows)), F.least(F.col("n"), F.ceil(F.col("b") / F.lit(block_bytes)))).cast("long")
     buckets = written(sizes.select("band", "bucket", cuts.alias("cuts")), "buckets")
-    cut = members.join(buckets, ["band", "bucket"]).withColumn("own", F.pmod(F.xxhash64("rep", "band"), F.col("cuts")))
+    # a merge join at every size: the rows exchanged stay in proportion to the input
+    shared = members.drop("bytes").join(buckets.hint("merge"), ["band", "bucket"]).withColumn("own", F.pmod(F.xxhash64("rep", "band"), F.col("cuts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))
-    met = cut.withColumn("other", other).select(
-        "rep", "copies", "bands", "band", "own", F.xxhash64("band", "bucket", F.least("own", "other"), F.greatest("own", "other")).alias("block"), F.least("own", "other").alias("low"), (F.col("own") == F.col("other")).alias("same")
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    met = shared.withColumn("other", other).select(
+        "rep", "band", F.xxhash64("band", "bucket", low, high).alias("block"), (F.col("own") == low).alias("left"), (F.col("own") == F.col("other")).alias("same")
     )
-    meetings = met.select("rep", "copies", "bands", "band", "block", (F.col("own") == F.col("low")).alias("left"), "same")
+    meetings = met.join(classes.select("rep", "copies", "bands").hint("merge"), "rep").select("rep", "copies", "bands", "band", "block", "left", "same")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_runs(batches, "block"):
