@@ -151,7 +151,8 @@ def read_token_files(spark: SparkSession, folder: str, doc_ids: list[int] | None
     """``doc_id, start, ids`` of all documents, or of ``doc_ids``; ``start`` counts the ids of all documents before, in all files."""
     manifest = spark.read.parquet(f"{folder}/manifest")
     before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    listed = manifest.select("part", "file", F.coalesce(before, F.lit(0)).alias("base")).repartition("file")
+    # a task for each file: left to itself, Spark joins so few rows into one task
+    listed = manifest.select("part", "file", F.coalesce(before, F.lit(0)).alias("base")).repartition(max(1, manifest.count()), "file")
     wanted = None if doc_ids is None else set(doc_ids)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

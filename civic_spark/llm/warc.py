@@ -184,7 +184,8 @@ def normalise(files: DataFrame, source: str, target: str, level: int = 1) -> Dat
                 if rows:
                     yield pd.DataFrame(rows, columns=["file", "offset", "length", "kind"])
 
-    index = files.repartition("file").mapInPandas(rewrite, "file string, offset long, length long, kind string")
+    # a task for each file: left to itself, Spark joins so few rows into one task
+    index = files.repartition(max(1, files.count()), "file").mapInPandas(rewrite, "file string, offset long, length long, kind string")
     index.write.parquet(f"{target}/index")
     return files.sparkSession.read.parquet(f"{target}/index")
 
