@@ -135,7 +135,8 @@ def _unpacked(at: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 class Lists:
-    """Rows of a table in the shared folder for one file of the input at a time, by row key."""
+    """Rows of a table in the shared folder for one file of the input at a time, by row key. A row may hold lists of keys and
+    places that share its other columns."""
 
     def __init__(self, path: str, columns: list[str]):
         self.path, self.columns, self.at, self.rows = path, columns, None, {}
@@ -147,10 +148,17 @@ class Lists:
             self.at, self.rows, self.table = loc, {}, [np.empty(0, np.int64) for _ in self.columns]
             if system.get_file_info(path).type.name == "Directory":
                 found = ds.dataset(path, filesystem=system, format="parquet").to_table(columns=["rk", *self.columns])
-                key = found["rk"].to_numpy()
+                rows = {c: found[c].combine_chunks() for c in found.column_names}
+                if pa.types.is_list(rows["rk"].type):  # rows packed by what they share
+                    times = rows["rk"].value_lengths().to_numpy()
+                    flat = {c: v.flatten() if pa.types.is_list(v.type) else None for c, v in rows.items()}
+                    values = {c: flat[c].to_numpy() if flat[c] is not None else np.repeat(v.to_numpy(), times) for c, v in rows.items()}
+                else:
+                    values = {c: v.to_numpy() for c, v in rows.items()}
+                key = values["rk"]
                 order = np.argsort(key, kind="stable")
                 key = key[order]
-                self.table = [found[c].to_numpy()[order] for c in self.columns]
+                self.table = [values[c][order] for c in self.columns]
                 cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]).tolist() if len(key) else [0]
                 self.rows = {int(key[a]): (a, b) for a, b in zip(cuts[:-1], cuts[1:])}
         return self.rows
@@ -172,7 +180,7 @@ def _located(docs: DataFrame) -> DataFrame:
 def _listed(rows: DataFrame, name: str) -> str:
     """Writes ``rk, loc, ...`` partitioned by file of the input, for ``Lists``."""
     path = shared_folder(rows.sparkSession, name)
-    rows.repartition("loc").sortWithinPartitions("loc", "rk").write.option("compression", "zstd").partitionBy("loc").parquet(path)
+    rows.repartition("loc").sortWithinPartitions("loc").write.option("compression", "zstd").partitionBy("loc").parquet(path)
     return path
 
 
@@ -210,7 +218,9 @@ def repeats(located: DataFrame, size: int = 35, prefix: int = 8, group_contents:
     # what occurs twice as it is, is repeated throughout; the rest as the subtrees have it
     every = F.expr(f"(1L << {size - prefix + 1}) - 1")
     known = contents.join(masks, ["key", "content"], "left").select("key", "content", F.when(F.col("n") > 1, every).otherwise(F.coalesce("mask", F.lit(0))).alias("mask")).where("mask <> 0")
-    answers = live.join(written(known, "known"), ["key", "content"]).select("rk", "loc", "at", "mask")
+    # the places of a content in one file share a row: a passage that very many documents hold moves few rows
+    packed = written(live.groupBy("key", "content", "loc").agg(F.collect_list(F.struct("rk", "at")).alias("places")), "places")
+    answers = packed.join(written(known, "known"), ["key", "content"]).select("loc", F.col("places.rk").alias("rk"), F.col("places.at").alias("at"), "mask")
     return _listed(answers, "repeats")
 
 
