@@ -84,5 +84,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: DuckDB statements, where SQL can say what a query returns.
-ORACLES: dict[str, str] = {}
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+#: DuckDB statements, where SQL can say what a query returns. The others are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op1_warc_normalise": f"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+        m AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+        SELECT page_id, n AS payload_bytes,
+          array_to_string(list_transform(range(32), lambda i: substr('{_LETTERS}', 1 + (
+            (('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))::BIGINT) & 31)::INTEGER, 1)), '') AS payload_digest,
+          CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+          CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM p JOIN m USING (h)""",
+    "op3_cover_tree_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id
+              WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+        r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+        k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(k.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM v JOIN c ON c.a = vec_id LEFT JOIN k ON k.a = vec_id""",
+    "op4_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+        k AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS t FROM s),
+        g AS (SELECT t FROM k GROUP BY t HAVING count(*) > 1),
+        x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM k JOIN g USING (t)),
+        gone AS (SELECT doc_id, list(j) AS js FROM x GROUP BY doc_id),
+        kept AS (SELECT doc_id, len(w) AS n, CASE WHEN js IS NULL THEN w ELSE list_transform(
+                 list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: NOT list_contains(js, p[2])), lambda p: p[1]) END AS ws
+                 FROM d LEFT JOIN gone USING (doc_id))
+        SELECT doc_id, n AS n_words, n - len(ws) AS n_removed, sha256(array_to_string(ws, ' ')) AS kept_sha256 FROM kept""",
+    "op7_ngram_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i : i + 4], ' '))) AS g
+              FROM d WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+        k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+        t AS (SELECT text, min(doc_id) AS class_id FROM d WHERE len(w) > 0 GROUP BY text)
+        SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, component_id
+        FROM d JOIN c ON c.a = doc_id LEFT JOIN k ON k.a = doc_id LEFT JOIN t USING (text)""",
+}
