@@ -560,11 +560,14 @@ def _(v):
 
 @query(
     "guard_max_units",
-    f"""SELECT *, 'Precinct' AS detail FROM ({s.wide(f"(SELECT l.* FROM d_precinct_long l JOIN (SELECT {CONTEST} FROM (SELECT DISTINCT {CONTEST}, county, precinct FROM d_rows) AS u GROUP BY ALL HAVING count(*) <= 190) AS k USING ({CONTEST}))", CONTEST, "party", True)}) AS p
-        UNION ALL SELECT *, 'County' FROM ({s.wide(f"(SELECT l.* FROM d_county_long l JOIN (SELECT {CONTEST} FROM (SELECT DISTINCT {CONTEST}, county, precinct FROM d_rows) AS u GROUP BY ALL HAVING count(*) > 190) AS k USING ({CONTEST}))", CONTEST, "candidate", False)}) AS c""",
+    f"""SELECT d.*, n_units FROM (
+            SELECT *, 'Precinct' AS detail FROM ({s.wide("d_precinct_long", CONTEST, "party", True)}) AS p
+            UNION ALL SELECT *, 'County' FROM ({s.wide("d_county_long", CONTEST, "candidate", False)}) AS c) AS d
+        JOIN (SELECT {CONTEST}, count(*) AS n_units FROM (SELECT DISTINCT {CONTEST}, county, precinct FROM d_rows) AS u GROUP BY ALL) AS k
+            USING ({CONTEST})""",
 )
 def _(v):
-    return elections.detail_table(v.election_data.distinct(), max_units=190)
+    return elections.detail_table(v.election_data.distinct())
 
 
 @query("set_union_all", "SELECT year, race, candidate, party, CAST(NULL AS VARCHAR) AS note FROM manual_raw UNION ALL SELECT year, race, candidate, party, 'todo' FROM todo_raw")

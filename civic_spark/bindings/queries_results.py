@@ -23,8 +23,8 @@ def contest_rows(v: Views):
 
 
 def race_lookup(v: Views):
-    """Stored crosswalk of the ballot races, a few of them left out to exercise the fallbacks."""
-    return v.stored("race_lookup", lambda: primaries.race_crosswalk(v.ballots).filter(~F.col("race").startswith("WATER")))
+    """Stored crosswalk of all ballot races."""
+    return v.stored("race_lookup", lambda: primaries.race_crosswalk(v.ballots))
 
 
 def overrides(v: Views):
@@ -129,8 +129,7 @@ def _(v):
 
 
 _PRECINCT_UNITS = s.winners(
-    f"""(SELECT m.* FROM d_map_rows m JOIN (SELECT {CONTEST} FROM (SELECT DISTINCT {CONTEST}, county, precinct FROM d_rows) AS p
-        GROUP BY ALL HAVING count(*) <= 220) AS k USING ({CONTEST}))""",
+    "d_map_rows",
     f"{CONTEST}, county, precinct",
     extra=s.LABEL,
 )
@@ -146,7 +145,7 @@ _PRECINCT_UNITS = s.winners(
                 WHEN year = 2023 THEN 'precincts_24' ELSE 'precincts_general_24' END""",
 )
 def precinct_map_data(v):
-    shown = elections.precinct_map(contest_rows(v), v.fips, precinct_shapes(v), max_units=220)
+    shown = elections.precinct_map(contest_rows(v), v.fips, precinct_shapes(v))
     return shown
 
 

@@ -228,7 +228,7 @@ _PARTISAN = "('federal', 'state_exec', 'state_leg', 'county')"
 DERIVED = {
     "d_rows": f"SELECT DISTINCT {CONTEST}, county, precinct, candidate, party, votes FROM election_data",
     "d_crosswalk": classified("race_strings", "race"),
-    "d_lookup": f"SELECT * FROM ({classified('ballots', 'race')}) AS c WHERE race NOT LIKE 'WATER%'",
+    "d_lookup": f"SELECT * FROM ({classified('ballots', 'race')}) AS c",
     "d_overrides": """SELECT DISTINCT year, race, coalesce(candidate, '') AS candidate, upper(trim(party)) AS party FROM manual_raw
         WHERE party IS NOT NULL AND trim(party) <> ''""",
     "d_county_long": f"SELECT {CONTEST}, county, county AS unit, candidate, party, {nasum()} AS votes FROM d_rows GROUP BY ALL",

@@ -385,6 +385,10 @@ def dialect(index: int) -> dict[str, str]:
     return {name: body if isinstance(body, str) else body[index] for name, body in VIEWS.items()}
 
 
+#: Where the lookup tables of a session and data folder stand.
+STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Views:
     """Attribute access to base tables and civic views of one data folder, e.g. ``Views(spark, d).contrib``.
 
@@ -393,7 +397,6 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._stored: dict[str, DataFrame] = {}
         self._prefix = "civic_" + hashlib.md5(self.folder.encode()).hexdigest()[:12]
 
     def path(self, name: str) -> str:
@@ -413,15 +416,17 @@ class Views:
         return self.spark.sql(statement)
 
     def stored(self, name: str, build) -> DataFrame:
-        """Result of a lookup job as the table its consumers read: written once per ``Views`` to the shared folder.
+        """Result of a lookup job as the table its consumers read: written once per session and data folder, to the shared
+        folder.
 
         This is the boundary between the offline jobs and the queries on top of them. It also gives Spark the
         table's real size, so the broadcast decision is made on facts.
         """
-        if name not in self._stored:
-            folder = shared_folder(self.spark)
-            self._stored[name] = run_job(build(), folder, write=True)
-        return self._stored[name]
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in STORED:
+            STORED[key] = shared_folder(self.spark)
+            run_job(build(), STORED[key], write=True)
+        return self.spark.read.parquet(STORED[key])
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:

@@ -19,7 +19,6 @@ from ..sources.tables import county_fips, voting_district
 CONTEST = ["year", "election", "race"]
 GRAIN = [*CONTEST, "county", "precinct", "candidate", "party", "votes"]
 WHOLE_COUNTY = "county"  # precinct value of rows that report a county as one unit
-MAX_PRECINCTS = 1000
 
 # Precinct map layers and the first and last election year each one serves.
 PRECINCT_LAYERS = [
@@ -104,13 +103,11 @@ def precinct_counts(rows: DataFrame) -> DataFrame:
     return rows.select(*CONTEST, "county", "precinct").distinct().groupBy(*CONTEST).agg(F.count(F.lit(1)).alias("n_units"))
 
 
-def detail_table(rows: DataFrame, max_units: int = MAX_PRECINCTS) -> DataFrame:
-    """Precinct detail for contests of at most ``max_units`` units, county detail for larger ones."""
-    counted = precinct_counts(rows)
-    small = rows.join(counted.filter(F.col("n_units") <= max_units), CONTEST, "left_semi")
-    large = rows.join(counted.filter(F.col("n_units") > max_units), CONTEST, "left_semi")
-    precincts = precinct_table(small).withColumn("detail", F.lit("Precinct"))
-    return precincts.unionByName(county_table(large).withColumn("detail", F.lit("County")))
+def detail_table(rows: DataFrame) -> DataFrame:
+    """Precinct and county detail of every contest, with its number of units for callers that choose by size."""
+    precincts = precinct_table(rows).withColumn("detail", F.lit("Precinct"))
+    both = precincts.unionByName(county_table(rows).withColumn("detail", F.lit("County")))
+    return both.join(precinct_counts(rows), CONTEST)
 
 
 def primary_rank(rows: DataFrame) -> DataFrame:
@@ -155,10 +152,9 @@ def county_map(rows: DataFrame, counties: DataFrame) -> DataFrame:
     return shapes.join(county_map_results(rows), "county", "left")
 
 
-def precinct_map_results(rows: DataFrame, fips: DataFrame, max_units: int = MAX_PRECINCTS) -> DataFrame:
-    """Winner or Tie, share, label, fill and shape codes of every precinct, for contests of limited size."""
-    counted = precinct_counts(rows).filter(F.col("n_units") <= max_units)
-    shown = map_rows(rows).join(counted, CONTEST, "left_semi")
+def precinct_map_results(rows: DataFrame, fips: DataFrame) -> DataFrame:
+    """Winner or Tie, share, label, fill and shape codes of every precinct of every contest, whatever its size."""
+    shown = map_rows(rows)
     unit = [*CONTEST, "county", "precinct"]
     units = _painted(win.unit_winners(shown, unit, extra=[win.vote_label().alias("label")]))
     coded = units.join(fips, "county", "left")
@@ -171,11 +167,9 @@ def precinct_map_results(rows: DataFrame, fips: DataFrame, max_units: int = MAX_
     )
 
 
-def precinct_map(
-    rows: DataFrame, fips: DataFrame, precinct_shapes: DataFrame, max_units: int = MAX_PRECINCTS
-) -> DataFrame:
+def precinct_map(rows: DataFrame, fips: DataFrame, precinct_shapes: DataFrame) -> DataFrame:
     """Precinct results on the shapes of the layer that was in force in the election year."""
-    results = precinct_map_results(rows, fips, max_units)
+    results = precinct_map_results(rows, fips)
     return results.join(precinct_shapes, ["layer", "countyfp", "vtdst"])
 
 

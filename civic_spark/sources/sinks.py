@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the one the cluster names in ``spark.checkpoint.dir``; a local one only if unset."""
+    """A fresh folder below the one the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, only a session on one machine gets a temporary folder; on a cluster that is an error, as executors
+    would not see the driver's folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         base = tempfile.mkdtemp(prefix="civic-spark-")
     return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
 

@@ -101,14 +101,15 @@ def test_winner_matches_brute_force(frame):
         assert units[u].winner == want, mine
 
 
-def test_guard_switches_to_counties(frame):
+def test_detail_keeps_contests_of_every_size(frame):
     rows = frame(
         SCHEMA,
         *[row("x", f"p{i}", c, "IND", i, race="big") for i in range(3) for c in "AB"],
         *[row("x", "p1", c, "IND", 1, race="small") for c in "AB"],
     )
-    got = {(r.race, r.unit, r.detail) for r in elections.detail_table(rows, max_units=2).collect()}
-    assert got == {("big", "x", "County"), ("small", "X - p1", "Precinct")}
+    got = {(r.race, r.unit, r.detail, r.n_units) for r in elections.detail_table(rows).collect()}
+    big = {("big", f"X - p{i}", "Precinct", 3) for i in range(3)} | {("big", "x", "County", 3)}
+    assert got == big | {("small", "X - p1", "Precinct", 1), ("small", "x", "County", 1)}
 
 
 def test_primary_rank_and_map_party(frame):
@@ -144,7 +145,6 @@ def test_maps_keep_and_drop_shapes(frame, results):
     fips = frame("county STRING, fips BIGINT", ("adair", 21001))
     got = elections.precinct_map(once, fips, shapes).collect()
     assert [(r.vtdst, r.winner, r.layer) for r in got] == [("00A101", "Tie", "precincts")]
-    assert elections.precinct_map(once, fips, shapes, max_units=2).count() == 0
 
 
 def test_layers_by_year(frame):
