@@ -121,11 +121,19 @@ def _visible(expr: str) -> str:
     return r"trim(regexp_replace(" + _DECODED.format(f"regexp_replace({expr}, '<[^>]*>', '', 'g')") + r", '\s+', ' ', 'g'))"
 
 
+# Depth of every piece between two div tags; a block runs from its opening piece to the last one before its depth is left.
+_BLOCKS = f"""SELECT any_value(o.url) AS url, string_agg(p.piece, '' ORDER BY p.i) AS block
+    FROM (SELECT o.page_id, o.i, any_value(o.url) AS url, any_value(o.depth) AS depth, min(c.i) AS closed
+        FROM d_pieces o LEFT JOIN d_pieces c ON o.page_id = c.page_id AND c.i > o.i AND c.depth < o.depth
+        WHERE regexp_matches(o.piece, {s.text(pages.BLOCK)}) GROUP BY o.page_id, o.i) AS o
+    JOIN d_pieces p ON p.page_id = o.page_id AND p.i >= o.i AND (closed IS NULL OR p.i < closed)
+    GROUP BY o.page_id, o.i"""
+
 _ITEMS = f"""SELECT DISTINCT replace(regexp_extract(url, '/([A-Za-z_]+)_County', 1), '_', ' ') AS county,
     nullif(regexp_extract({_DECODED.format("regexp_extract(regexp_extract(item, '<a\\b[^>]*>'), '\\btitle=\"([^\"]*)\"', 1)")}, {s.text(pages.OFFICE)}, 1), '') AS office_bp,
     {_visible(f"regexp_extract(item, {s.text(pages.ANCHOR)}, 1)")} AS candidate,
     CASE regexp_extract({_visible("item")}, '\\((R|D)\\)', 1) WHEN 'R' THEN 'REP' WHEN 'D' THEN 'DEM' END AS party
-    FROM (SELECT url, unnest(regexp_extract_all(array_to_string(regexp_extract_all(html, {s.text(pages.BLOCK)}), ''), {s.text(pages.ITEM)})) AS item FROM county_pages) AS i
+    FROM (SELECT url, unnest(regexp_extract_all(block, {s.text(pages.ITEM)})) AS item FROM ({_BLOCKS}) AS b) AS i
     WHERE regexp_matches(item, {s.text(pages.ANCHOR)}) AND regexp_matches({_visible("item")}, '\\((R|D)\\)')"""
 
 
@@ -545,7 +553,7 @@ def _(v):
 @query("sort_multi", "SELECT office_sought, candidate, strftime(receipt_date, '%Y-%m-%d') AS receipt_date, CAST(amount AS DOUBLE) AS amount FROM contrib")
 def _(v):
     rows = v.contrib.select("office_sought", "candidate", "receipt_date", "amount")
-    return rows.orderBy(F.col("receipt_date").desc_nulls_last(), F.lower("office_sought"), "candidate")
+    return rows.orderBy(F.col("receipt_date").desc_nulls_last(), F.lower("office_sought"), "candidate", "amount")
 
 
 @query("limit_top_n", "SELECT race FROM d_crosswalk WHERE office = 'Other Local' ORDER BY race LIMIT 25")

@@ -40,6 +40,11 @@ def parties(v: Views):
     return v.stored("primary_party_lookup", lambda: resolved(v))
 
 
+def split(v: Views):
+    """Primary rows under each token they are shown for."""
+    return primaries.primary_split(elections.contest_rows(v.ballots), parties(v))
+
+
 def unresolved(v: Views):
     return primaries.unresolved_candidates(parties(v))
 
@@ -81,7 +86,7 @@ def _(v):
     return elections.county_table(contest_rows(v))
 
 
-@query("county_table_listed", s.listed("d_county_long", "candidate", False))
+@query("county_table_listed", s.listed("d_county_long", CONTEST, "candidate", False))
 def _(v):
     return elections.county_table_listed(contest_rows(v))
 
@@ -91,7 +96,7 @@ def precinct_table(v):
     return elections.precinct_table(contest_rows(v))
 
 
-@query("precinct_table_listed", s.listed("d_precinct_long", "party", True))
+@query("precinct_table_listed", s.listed("d_precinct_long", CONTEST, "party", True))
 def _(v):
     return elections.precinct_table_listed(contest_rows(v))
 
@@ -195,17 +200,69 @@ def _(v):
     return choices.primary_choices(parties(v), race_lookup(v))
 
 
+@query("primary_split", f"SELECT {s.PRIMARY}, county, precinct, candidate, party, votes FROM d_split")
+def _(v):
+    return split(v)
+
+
+# One party's primary
+
+
 @query(
-    "primary_split",
-    f"""SELECT year, election, race, county, precinct, candidate, CASE WHEN token IN ('DEM', 'REP') THEN token ELSE party END AS party, votes, token
-        FROM (SELECT *, unnest(CASE WHEN known IN ('DEM', 'REP') THEN [known, '__ALL__'] WHEN known IS NULL THEN ['__UNLABELED__', '__ALL__']
-                ELSE ['__ALL__'] END) AS token
-            FROM (SELECT b.year, b.election, b.race, b.county, b.precinct, b.candidate, b.party, b.votes, p.party AS known
-                FROM (SELECT DISTINCT * FROM ballots WHERE election = 'primary') b
-                LEFT JOIN d_ppl p ON b.year = p.year AND b.race = p.race AND b.candidate = p.candidate) AS m) AS t""",
+    "primary_token_result",
+    f"""SELECT {s.PRIMARY}, candidate, {s.nasum()} AS votes, {s.title('candidate')} AS display_name FROM d_split
+        GROUP BY {s.PRIMARY}, candidate""",
 )
 def _(v):
-    return primaries.primary_split(elections.contest_rows(v.ballots), parties(v))
+    return elections.contest_result(split(v), primaries.PRIMARY)
+
+
+@query("primary_token_county_table", s.wide("d_split_county_long", s.PRIMARY, "candidate", False))
+def _(v):
+    return elections.county_table(split(v), primaries.PRIMARY)
+
+
+@query("primary_token_county_listed", s.listed("d_split_county_long", s.PRIMARY, "candidate", False))
+def _(v):
+    return elections.county_table_listed(split(v), primaries.PRIMARY)
+
+
+@query("primary_token_precinct_table", s.wide("d_split_precinct_long", s.PRIMARY, "party", True))
+def _(v):
+    return elections.precinct_table(split(v), primaries.PRIMARY)
+
+
+@query("primary_token_precinct_listed", s.listed("d_split_precinct_long", s.PRIMARY, "party", True))
+def _(v):
+    return elections.precinct_table_listed(split(v), primaries.PRIMARY)
+
+
+@query("primary_token_rank", f"SELECT {s.PRIMARY}, candidate, votes, pct, cnt, 'IND' || cnt AS party FROM d_split_rank")
+def _(v):
+    return elections.primary_rank(split(v), primaries.PRIMARY)
+
+
+_TOKEN_COUNTIES = s.winners(
+    f"(SELECT {s.PRIMARY}, county, candidate, party, {s.nasum()} AS votes FROM d_split_map_rows GROUP BY ALL)",
+    f"{s.PRIMARY}, county",
+    "party",
+    False,
+    s.LABEL,
+)
+
+
+@query("primary_token_county_map", s.painted(_TOKEN_COUNTIES))
+def _(v):
+    return elections.county_map_results(split(v), primaries.PRIMARY)
+
+
+_TOKEN_PRECINCTS = s.winners("d_split_map_rows", f"{s.PRIMARY}, county, precinct", extra=s.LABEL)
+
+
+@query("primary_token_precinct_map", f"SELECT {s.PRIMARY}, county, precinct, winner, winning_votes, total_votes, winning_share, label, ramp_t, fill_col FROM ({s.painted(_TOKEN_PRECINCTS)}) AS u")
+def _(v):
+    shown = elections.precinct_map_results(split(v), v.fips, primaries.PRIMARY)
+    return shown.select(*primaries.PRIMARY, "county", "precinct", "winner", "winning_votes", "total_votes", "winning_share", "label", "ramp_t", "fill_col")
 
 
 # Crosswalk and party jobs
@@ -375,7 +432,8 @@ def _(v):
 @query(
     "vote_summary",
     """SELECT session, bill_num, chamber_ AS chamber, vote, count(*) AS "Total", count(*) FILTER (party = 'Democratic') AS "Democratic",
-        count(*) FILTER (party = 'Republican') AS "Republican", nullif(count(*) FILTER (party IS NULL), 0) AS no_party
+        count(*) FILTER (party = 'Republican') AS "Republican", nullif(count(*) FILTER (party IS NULL), 0) AS no_party,
+        count(*) FILTER (party NOT IN ('Democratic', 'Republican')) AS other_party
         FROM d_roll GROUP BY ALL""",
 )
 def _(v):
@@ -645,6 +703,11 @@ def _(v):
     return districts.district_detail(district_rows(v))
 
 
+@query("district_detail_listed", s.listed("d_district_long", f"chamber, district, {CONTEST}", "party", True))
+def _(v):
+    return districts.district_detail_listed(district_rows(v))
+
+
 @query(
     "district_map_data",
     f"""SELECT u.*, {s.step_fill("winner", "winning_share")} AS fill_col, fips, countyfp, vtdst, layer, name, xmin, ymin, xmax, ymax

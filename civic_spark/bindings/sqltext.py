@@ -175,6 +175,7 @@ def painted(units: str, winner: str = "winner", share: str = "winning_share") ->
 
 
 CONTEST = "year, election, race"
+PRIMARY = CONTEST + ", token"
 
 
 def winners(source: str, unit: str, prize: str = "party", ties: bool = True, extra: str = "") -> str:
@@ -194,7 +195,7 @@ def winners(source: str, unit: str, prize: str = "party", ties: bool = True, ext
 
 
 LABEL = (
-    "string_agg(candidate || ': ' || coalesce(format('{:,}', votes), 'NA'), '<br>' ORDER BY candidate, party) AS label"
+    "string_agg(candidate || ': ' || coalesce(format('{:,}', votes), 'NA'), '<br>' ORDER BY candidate, party, votes NULLS FIRST) AS label"
 )
 
 
@@ -216,11 +217,11 @@ def wide(source: str, contest: str, prize: str, ties: bool) -> str:
     return f"SELECT * EXCLUDE (winning_votes, winning_share), {shares} FROM ({units}) AS u"
 
 
-def listed(source: str, prize: str, ties: bool) -> str:
-    joined = f"(SELECT s.*, t.contest_votes FROM {source} s JOIN ({slots(source, CONTEST)}) t USING ({CONTEST}, candidate) WHERE n_candidates NOT BETWEEN 2 AND 4)"
-    return f"""SELECT {CONTEST}, unit, winner, candidate, votes, contest_votes FROM {joined} AS l
-        JOIN (SELECT {CONTEST}, unit, winner FROM ({winners(joined, CONTEST + ", unit", prize, ties)}) AS w1) AS w
-        USING ({CONTEST}, unit)"""
+def listed(source: str, contest: str, prize: str, ties: bool) -> str:
+    joined = f"(SELECT s.*, t.contest_votes FROM {source} s JOIN ({slots(source, contest)}) t USING ({contest}, candidate) WHERE n_candidates NOT BETWEEN 2 AND 4)"
+    return f"""SELECT {contest}, unit, winner, candidate, votes, contest_votes FROM {joined} AS l
+        JOIN (SELECT {contest}, unit, winner FROM ({winners(joined, contest + ", unit", prize, ties)}) AS w1) AS w
+        USING ({contest}, unit)"""
 
 
 _PARTISAN = "('federal', 'state_exec', 'state_leg', 'county')"
@@ -268,6 +269,27 @@ DERIVED = {
                 LEFT JOIN (SELECT year, race, party AS mr FROM d_overrides WHERE candidate = '') b USING (year, race)
                 LEFT JOIN d_cand_match c USING (year, race, candidate)
                 LEFT JOIN d_race_sig s USING (year, race)) AS j) AS k""",
+    "d_pieces": """SELECT *, sum(CASE WHEN starts_with(piece, '<div') THEN 1 WHEN starts_with(piece, '</div') THEN -1 ELSE 0 END)
+            OVER (PARTITION BY page_id ORDER BY i) AS depth
+        FROM (SELECT page_id, url, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i
+            FROM (SELECT page_id, url, string_split(regexp_replace(html, '(</?div\\b)', chr(1) || '\\1', 'g'), chr(1)) AS pieces FROM county_pages) AS s) AS u""",
+    "d_split": """SELECT year, election, race, county, precinct, candidate, CASE WHEN token IN ('DEM', 'REP') THEN token ELSE party END AS party, votes, token
+        FROM (SELECT *, unnest(CASE WHEN known IN ('DEM', 'REP') THEN [known, '__ALL__'] WHEN known IS NULL THEN ['__UNLABELED__', '__ALL__']
+                ELSE ['__ALL__'] END) AS token
+            FROM (SELECT b.year, b.election, b.race, b.county, b.precinct, b.candidate, b.party, b.votes, p.party AS known
+                FROM (SELECT DISTINCT * FROM ballots WHERE election = 'primary') b
+                LEFT JOIN d_ppl p ON b.year = p.year AND b.race = p.race AND b.candidate = p.candidate) AS m) AS t""",
+    "d_split_county_long": f"""SELECT {PRIMARY}, county AS unit, candidate, party, {nasum()} AS votes FROM d_split
+        GROUP BY {PRIMARY}, county, candidate, party""",
+    "d_split_precinct_long": f"""SELECT {PRIMARY}, upper(county) || ' - ' || precinct AS unit, candidate, party, {nasum()} AS votes
+        FROM d_split WHERE precinct <> 'county' GROUP BY ALL""",
+    "d_split_rank": f"""SELECT {PRIMARY}, candidate, votes, pct,
+        row_number() OVER (PARTITION BY {PRIMARY} ORDER BY pct DESC NULLS LAST, candidate) AS cnt
+        FROM (SELECT *, votes / nullif(CAST(CASE WHEN bool_or(votes IS NULL) OVER w THEN NULL ELSE sum(votes) OVER w END AS DOUBLE), 0) AS pct
+            FROM (SELECT {PRIMARY}, candidate, {nasum()} AS votes FROM d_split GROUP BY {PRIMARY}, candidate) AS t
+            WINDOW w AS (PARTITION BY {PRIMARY})) AS shares""",
+    "d_split_map_rows": f"""SELECT r.year, r.election, r.race, r.token, county, precinct, candidate, 'IND' || cnt AS party, r.votes
+        FROM d_split r LEFT JOIN (SELECT {PRIMARY}, candidate, cnt FROM d_split_rank) AS k USING ({PRIMARY}, candidate)""",
     "d_unresolved": f"SELECT year, race, candidate, office, source FROM d_ppl WHERE office_level IN {_PARTISAN} AND party IS NULL",
     "d_listed": f"""SELECT office, nkey, min(party) AS party FROM (SELECT {roster_office("office_bp")} AS office,
             {name_key("candidate")} AS nkey, party FROM roster) AS k GROUP BY ALL HAVING count(DISTINCT party) = 1""",
@@ -304,11 +326,12 @@ DERIVED = {
         GROUP BY ALL""",
     "d_signed": """SELECT session, bill_num, s.legislator_id, chief_sponsor, name, party, concat_ws('|', name, party) AS name_party
         FROM sponsors s LEFT JOIN legislators l ON s.legislator_id = l.legislator_id""",
-    "d_overview": """SELECT b.session, b.bill_num, title, bill_summary, last_action, spon_list, Democratic, Republican,
+    "d_overview": """SELECT b.session, b.bill_num, title, bill_summary, last_action, spon_list, Democratic, Republican, other_party,
             try_cast(passed_house AS BIGINT) AS passed_house, try_cast(passed_senate AS BIGINT) AS passed_senate,
             try_cast(passed AS BIGINT) AS passed
         FROM bills b LEFT JOIN (SELECT session, bill_num, string_agg(name_party, ';' ORDER BY name_party) AS spon_list,
-                count(*) FILTER (party = 'Democratic') AS Democratic, count(*) FILTER (party = 'Republican') AS Republican
+                count(*) FILTER (party = 'Democratic') AS Democratic, count(*) FILTER (party = 'Republican') AS Republican,
+                count(*) FILTER (party NOT IN ('Democratic', 'Republican')) AS other_party
             FROM d_signed GROUP BY ALL HAVING count(party) > 0) s ON b.session = s.session AND b.bill_num = s.bill_num""",
     "d_roll": """SELECT session, bill_num, chamber_, r.legislator_id, vote, name, party
         FROM (SELECT session, bill_num, chamber AS chamber_, legislator_id, vote FROM roll) r

@@ -239,7 +239,8 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     # Legislature.
     "legislators": """
         SELECT s_suppkey AS legislator_id, s_name AS name, 'Rep. ' || s_name AS full_name,
-            CASE WHEN s_nationkey % 3 = 0 THEN 'Democratic' WHEN s_nationkey % 3 = 1 THEN 'Republican' END AS party,
+            CASE WHEN s_nationkey % 3 = 0 THEN 'Democratic' WHEN s_nationkey % 3 = 1 THEN 'Republican'
+                WHEN s_nationkey % 6 = 5 THEN 'Independent' END AS party,
             CASE WHEN s_suppkey % 4 = 0 THEN 'senate' ELSE 'house' END AS chamber, s_suppkey % 100 + 1 AS district,
             CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE '/img/' || cast(s_suppkey AS string) || '.jpg' END AS img_src,
             '/legislator/' || cast(s_suppkey AS string) AS lrc_link,
@@ -336,7 +337,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         r"""
         SELECT page_id, '/Nation_' || cast(page_id % 120 AS string) || '_of_X_County,_elections' AS url,
             regexp_replace(regexp_replace(regexp_replace(
-                replace(replace(html, '<nav>', '<div class="box widget-data-list">'), '</nav>', '</div>'),
+                replace(replace(html, '<nav>', '<div class="box widget-data-list"><div>Offices</div>'), '</nav>', '</div>'),
                 r'<li><a href="(/[^"]*)">([a-gA-G][^<]*)</a></li>',
                 '<li><a href="$1" title="$2 (State Senate District 5, Kentucky, candidate 2026)">$2</a> (R)</li>'),
                 r'<li><a href="(/[^"]*)">([h-pH-P][^<]*)</a></li>',
@@ -346,7 +347,7 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         r"""
         SELECT page_id, '/Nation_' || cast(page_id % 120 AS string) || '_of_X_County,_elections' AS url,
             regexp_replace(regexp_replace(regexp_replace(
-                replace(replace(html, '<nav>', '<div class="box widget-data-list">'), '</nav>', '</div>'),
+                replace(replace(html, '<nav>', '<div class="box widget-data-list"><div>Offices</div>'), '</nav>', '</div>'),
                 '<li><a href="(/[^"]*)">([a-gA-G][^<]*)</a></li>',
                 '<li><a href="\1" title="\2 (State Senate District 5, Kentucky, candidate 2026)">\2</a> (R)</li>', 'g'),
                 '<li><a href="(/[^"]*)">([h-pH-P][^<]*)</a></li>',

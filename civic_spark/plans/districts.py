@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.colors import step_fill
 from ..functions.semantics import na_paste
 from ..operators import winners as win
-from ..operators.joins import nullsafe_join
 from ..operators.spatial import points_in_polygons
 from ..sources.tables import county_fips, voting_district
-from .elections import CONTEST, WHOLE_COUNTY
+from .elections import CONTEST, precinct_table, precinct_table_listed
 
 DISTRICT = ["chamber", "district"]
+DETAIL = [*DISTRICT, *CONTEST]
 
 # Office names per chamber and the fills of the candidate map.
 CHAMBER_OFFICE = {"House": "State Representative", "Senate": "State Senator"}
@@ -76,15 +76,13 @@ def district_summary(rows: DataFrame) -> DataFrame:
 
 
 def district_detail(rows: DataFrame) -> DataFrame:
-    """Precincts of each district with winner or Tie and up to four candidate slots."""
-    key = [*DISTRICT, *CONTEST]
-    units = rows.filter(F.col("precinct") != WHOLE_COUNTY)
-    units = units.withColumn("unit", F.concat_ws(" - ", F.upper("county"), "precinct"))
-    long = win.totals(units, [*key, "unit"])
-    slots = win.candidate_slots(long, key, "unit").filter(F.col("n_candidates").between(2, win.SLOTS))
-    placed = nullsafe_join(long, slots, [*key, "candidate"], never_null=key)
-    wide = win.unit_winners(placed, [*key, "unit"], extra=[*win.slot_columns(), F.max("n_candidates").alias("n_candidates")])
-    return win.with_slot_shares(wide).drop("winning_votes", "winning_share")
+    """Precincts of each district with winner or Tie, for contests with two to four candidates."""
+    return precinct_table(rows, DETAIL)
+
+
+def district_detail_listed(rows: DataFrame) -> DataFrame:
+    """The contests that ``district_detail`` cannot hold, with one row per precinct and candidate."""
+    return precinct_table_listed(rows, DETAIL)
 
 
 def district_map(rows: DataFrame, fips: DataFrame, precinct_shapes: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Contest results: totals, winners per county and precinct, and the data behind the maps.
 
 A contest is (year, election, race). Results for every contest come out of one job; filter the input to get
-a single one.
+a single one. ``keys`` names the columns of a contest: rows of a split primary carry a token besides (``PRIMARY``
+in ``primaries``), so that each party's primary has its own totals, winners and ranks.
 """
 
 from __future__ import annotations
@@ -44,85 +45,85 @@ def contest_rows(election_data: DataFrame, counties: list[str] | None = None, **
     return rows.distinct()
 
 
-def contest_result(rows: DataFrame) -> DataFrame:
+def contest_result(rows: DataFrame, keys: list[str] = CONTEST) -> DataFrame:
     """Votes per candidate, most votes first within a contest."""
-    summed = win.totals(rows, CONTEST, party=False).withColumn("display_name", title_case("candidate"))
-    return summed.orderBy(*CONTEST, F.col("votes").desc_nulls_last(), "candidate")
+    summed = win.totals(rows, keys, party=False).withColumn("display_name", title_case("candidate"))
+    return summed.orderBy(*keys, F.col("votes").desc_nulls_last(), "candidate")
 
 
-def _county_totals(rows: DataFrame) -> DataFrame:
-    return win.totals(rows, [*CONTEST, "county"]).withColumn("unit", F.col("county"))
+def _county_totals(rows: DataFrame, keys: list[str] = CONTEST) -> DataFrame:
+    return win.totals(rows, [*keys, "county"]).withColumn("unit", F.col("county"))
 
 
-def _precinct_totals(rows: DataFrame) -> DataFrame:
+def _precinct_totals(rows: DataFrame, keys: list[str] = CONTEST) -> DataFrame:
     units = rows.filter(F.col("precinct") != WHOLE_COUNTY)
     named = units.withColumn("unit", F.concat_ws(" - ", F.upper("county"), "precinct"))
-    return win.totals(named, [*CONTEST, "unit"])
+    return win.totals(named, [*keys, "unit"])
 
 
-def _wide(long: DataFrame, prize: str, ties: bool) -> DataFrame:
+def _wide(long: DataFrame, keys: list[str], prize: str, ties: bool) -> DataFrame:
     """One row per unit with up to four candidate slots, for contests with two to four candidates."""
-    slots = win.candidate_slots(long, CONTEST, "unit")
+    slots = win.candidate_slots(long, keys, "unit")
     fitting = slots.filter(F.col("n_candidates").between(2, win.SLOTS))
-    placed = nullsafe_join(long, fitting, [*CONTEST, "candidate"], never_null=CONTEST)
+    placed = nullsafe_join(long, fitting, [*keys, "candidate"], never_null=keys)
     wide = win.unit_winners(
-        placed, [*CONTEST, "unit"], prize, ties, [*win.slot_columns(), F.max("n_candidates").alias("n_candidates")]
+        placed, [*keys, "unit"], prize, ties, [*win.slot_columns(), F.max("n_candidates").alias("n_candidates")]
     )
     return win.with_slot_shares(wide).drop("winning_votes", "winning_share")
 
 
-def _listed(long: DataFrame, prize: str, ties: bool) -> DataFrame:
+def _listed(long: DataFrame, keys: list[str], prize: str, ties: bool) -> DataFrame:
     """One row per unit and candidate, for contests whose candidates do not fit the slots."""
-    slots = win.candidate_slots(long, CONTEST, "unit")
+    slots = win.candidate_slots(long, keys, "unit")
     others = slots.filter(~F.col("n_candidates").between(2, win.SLOTS))
-    placed = nullsafe_join(long, others, [*CONTEST, "candidate"], never_null=CONTEST)
-    beside = win.winner_beside(placed, [*CONTEST, "unit"], prize, ties)
-    return beside.select(*CONTEST, "unit", "winner", "candidate", "votes", "contest_votes")
+    placed = nullsafe_join(long, others, [*keys, "candidate"], never_null=keys)
+    beside = win.winner_beside(placed, [*keys, "unit"], prize, ties)
+    return beside.select(*keys, "unit", "winner", "candidate", "votes", "contest_votes")
 
 
-def county_table(rows: DataFrame) -> DataFrame:
+def county_table(rows: DataFrame, keys: list[str] = CONTEST) -> DataFrame:
     """Counties of contests with two to four candidates: winning candidate (first of equals), votes, shares."""
-    return _wide(_county_totals(rows), "candidate", ties=False)
+    return _wide(_county_totals(rows, keys), keys, "candidate", ties=False)
 
 
-def county_table_listed(rows: DataFrame) -> DataFrame:
-    return _listed(_county_totals(rows), "candidate", ties=False)
+def county_table_listed(rows: DataFrame, keys: list[str] = CONTEST) -> DataFrame:
+    return _listed(_county_totals(rows, keys), keys, "candidate", ties=False)
 
 
-def precinct_table(rows: DataFrame) -> DataFrame:
+def precinct_table(rows: DataFrame, keys: list[str] = CONTEST) -> DataFrame:
     """Precincts of contests with two to four candidates: winning party or Tie, votes, shares."""
-    return _wide(_precinct_totals(rows), "party", ties=True)
+    return _wide(_precinct_totals(rows, keys), keys, "party", ties=True)
 
 
-def precinct_table_listed(rows: DataFrame) -> DataFrame:
-    return _listed(_precinct_totals(rows), "party", ties=True)
+def precinct_table_listed(rows: DataFrame, keys: list[str] = CONTEST) -> DataFrame:
+    return _listed(_precinct_totals(rows, keys), keys, "party", ties=True)
 
 
-def precinct_counts(rows: DataFrame) -> DataFrame:
+def precinct_counts(rows: DataFrame, keys: list[str] = CONTEST) -> DataFrame:
     """How many (county, precinct) units each contest has."""
-    return rows.select(*CONTEST, "county", "precinct").distinct().groupBy(*CONTEST).agg(F.count(F.lit(1)).alias("n_units"))
+    return rows.select(*keys, "county", "precinct").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_units"))
 
 
-def detail_table(rows: DataFrame) -> DataFrame:
+def detail_table(rows: DataFrame, keys: list[str] = CONTEST) -> DataFrame:
     """Precinct and county detail of every contest, with its number of units for callers that choose by size."""
-    precincts = precinct_table(rows).withColumn("detail", F.lit("Precinct"))
-    both = precincts.unionByName(county_table(rows).withColumn("detail", F.lit("County")))
-    return both.join(precinct_counts(rows), CONTEST)
+    precincts = precinct_table(rows, keys).withColumn("detail", F.lit("Precinct"))
+    both = precincts.unionByName(county_table(rows, keys).withColumn("detail", F.lit("County")))
+    return both.join(precinct_counts(rows, keys), keys)
 
 
-def primary_rank(rows: DataFrame) -> DataFrame:
+def primary_rank(rows: DataFrame, keys: list[str] = CONTEST) -> DataFrame:
     """Candidates of each contest by share of its votes; the rank becomes the colour family IND1, IND2, ..."""
-    return win.ranked_candidates(rows, CONTEST)
+    return win.ranked_candidates(rows, keys)
 
 
-def map_rows(rows: DataFrame) -> DataFrame:
+def map_rows(rows: DataFrame, keys: list[str] = CONTEST) -> DataFrame:
     """Rows as the maps colour them: a primary shows the rank of its candidates, whatever their party.
 
     Ranks are taken for every contest, not just primaries, so that both sides read the same de-duplicated rows
     and share one shuffle.
     """
-    ranks = primary_rank(rows).select(*CONTEST, "candidate", F.col("party").alias("_rank"))
-    ranked = nullsafe_join(rows, ranks, [*CONTEST, "candidate"], "left", never_null=CONTEST)
+    ranks = primary_rank(rows, keys).select(*keys, "candidate", F.col("party").alias("_rank"))
+    ranked = nullsafe_join(rows, ranks, [*keys, "candidate"], "left", never_null=keys)
     party = F.when(F.col("election") == "primary", F.col("_rank")).otherwise(F.col("party"))
     return ranked.withColumn("party", party).drop("_rank")
 
@@ -136,26 +137,26 @@ def _painted(units: DataFrame) -> DataFrame:
     )
 
 
-def county_map_results(rows: DataFrame) -> DataFrame:
+def county_map_results(rows: DataFrame, keys: list[str] = CONTEST) -> DataFrame:
     """Winning party, share, label and fill of every county in every contest."""
-    long = win.totals(map_rows(rows), [*CONTEST, "county"])
-    units = win.unit_winners(long, [*CONTEST, "county"], ties=False, extra=[win.vote_label().alias("label")])
+    long = win.totals(map_rows(rows, keys), [*keys, "county"])
+    units = win.unit_winners(long, [*keys, "county"], ties=False, extra=[win.vote_label().alias("label")])
     return _painted(units)
 
 
-def county_map(rows: DataFrame, counties: DataFrame) -> DataFrame:
+def county_map(rows: DataFrame, counties: DataFrame, keys: list[str] = CONTEST) -> DataFrame:
     """County shapes with their results; counties without results stay, with no contest and no fill.
 
     A county has one result row per contest, so no county is a hot join key.
     """
     shapes = counties.withColumn("county", F.lower("name"))
-    return shapes.join(county_map_results(rows), "county", "left")
+    return shapes.join(county_map_results(rows, keys), "county", "left")
 
 
-def precinct_map_results(rows: DataFrame, fips: DataFrame) -> DataFrame:
+def precinct_map_results(rows: DataFrame, fips: DataFrame, keys: list[str] = CONTEST) -> DataFrame:
     """Winner or Tie, share, label, fill and shape codes of every precinct of every contest, whatever its size."""
-    shown = map_rows(rows)
-    unit = [*CONTEST, "county", "precinct"]
+    shown = map_rows(rows, keys)
+    unit = [*keys, "county", "precinct"]
     units = _painted(win.unit_winners(shown, unit, extra=[win.vote_label().alias("label")]))
     coded = units.join(fips, "county", "left")
     return coded.withColumns(
@@ -167,9 +168,9 @@ def precinct_map_results(rows: DataFrame, fips: DataFrame) -> DataFrame:
     )
 
 
-def precinct_map(rows: DataFrame, fips: DataFrame, precinct_shapes: DataFrame) -> DataFrame:
+def precinct_map(rows: DataFrame, fips: DataFrame, precinct_shapes: DataFrame, keys: list[str] = CONTEST) -> DataFrame:
     """Precinct results on the shapes of the layer that was in force in the election year."""
-    results = precinct_map_results(rows, fips)
+    results = precinct_map_results(rows, fips, keys)
     return results.join(precinct_shapes, ["layer", "countyfp", "vtdst"])
 
 

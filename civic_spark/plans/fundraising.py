@@ -45,13 +45,15 @@ def contributor(with_address: bool) -> Column:
 
 
 def contribution_list(contrib: DataFrame) -> DataFrame:
+    """Contributions of each campaign, newest first; every column is in the sort key, so one date spreads over tasks."""
     fields = ["amount", "receipt_date", "city", "state", "zip", "occupation", "employer"]
     kinds = ["contribution_mode", "contribution_type"]
     rows = contrib.select(*CAMPAIGN, contributor(False).alias("contributor"), *fields, *kinds)
-    return rows.orderBy(F.col("receipt_date").desc_nulls_last())
+    return rows.orderBy(*CAMPAIGN, F.col("receipt_date").desc_nulls_last(), "contributor", "amount", *fields[2:], *kinds)
 
 
 def expenditure_list(expend: DataFrame) -> DataFrame:
+    """Expenditures of each campaign, newest first, sorted as contributions are."""
     recipient = payer_identity("organization_name", "recipient_first_name", "recipient_last_name")
     rows = expend.select(
         *CAMPAIGN,
@@ -62,7 +64,8 @@ def expenditure_list(expend: DataFrame) -> DataFrame:
         "occupation",
         "disbursement_code",
     )
-    return rows.orderBy(F.col("disbursement_date").desc_nulls_last())
+    last = ["recipient", "disbursement_amount", "purpose", "occupation", "disbursement_code"]
+    return rows.orderBy(*CAMPAIGN, F.col("disbursement_date").desc_nulls_last(), *last)
 
 
 def _part(condition: Column, name: str) -> list[Column]:

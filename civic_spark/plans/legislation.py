@@ -43,6 +43,11 @@ def bill_list(bills: DataFrame, chamber: str | None = None) -> DataFrame:
     return rows.select(*BILL, *fields).orderBy("session", digits_number("bill_num").asc_nulls_last(), "bill_num")
 
 
+def other_parties() -> Column:
+    """Aggregate: rows of any party but the two with a column of their own."""
+    return F.count_if(~F.col("party").isin(DEMOCRATIC, REPUBLICAN)).alias("other_party")
+
+
 def bill_overview(bills: DataFrame, sponsors: DataFrame, legislators: DataFrame) -> DataFrame:
     """Bills with their sponsors (``name|party``) and sponsor counts per party.
 
@@ -54,6 +59,7 @@ def bill_overview(bills: DataFrame, sponsors: DataFrame, legislators: DataFrame)
     per_bill = signed.groupBy(*BILL).agg(
         _joined("name_party", ";").alias("spon_list"),
         *count_by_value("party", {DEMOCRATIC: DEMOCRATIC, REPUBLICAN: REPUBLICAN}),
+        other_parties(),
         F.count("party").alias("_known"),
     )
     known = per_bill.filter(F.col("_known") > 0).drop("_known")
@@ -127,6 +133,7 @@ def vote_summary(votes: DataFrame, legislators: DataFrame) -> DataFrame:
     counted = named.groupBy(*BILL, "chamber", "vote").agg(
         F.count(F.lit(1)).alias("Total"),
         *count_by_value("party", {DEMOCRATIC: DEMOCRATIC, REPUBLICAN: REPUBLICAN, "no_party": None}),
+        other_parties(),
     )
     counted = counted.withColumn("no_party", F.nullif("no_party", F.lit(0)))
     return counted.orderBy(*BILL, "chamber", vote_rank(), "vote")

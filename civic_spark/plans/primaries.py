@@ -18,6 +18,7 @@ from .elections import CONTEST
 PRIMARY_PARTIES = ["DEM", "REP"]
 SOURCES = ["manual_cand", "manual_race", "nonpartisan", "suffix", "general", "race_inferred", "unresolved"]
 CANDIDATE = ["year", "race", "candidate"]
+PRIMARY = [*CONTEST, "token"]  # one party's primary, or what is shown for everyone
 
 
 def race_crosswalk(races: DataFrame) -> DataFrame:
@@ -158,4 +159,9 @@ def primary_split(rows: DataFrame, party_lookup: DataFrame) -> DataFrame:
 
 def primary_result(split: DataFrame) -> DataFrame:
     """Votes per candidate under each token of each primary."""
-    return totals(split, [*CONTEST, "token"], party=False)
+    return totals(split, PRIMARY, party=False)
+
+
+def picked(split: DataFrame, token: str) -> DataFrame:
+    """Rows of a split primary for one pick; a pick that has no rows of its own, such as a third party, shows everyone."""
+    return split.filter(F.col("token") == (token if token in (*PRIMARY_PARTIES, UNLABELED) else EVERYONE))

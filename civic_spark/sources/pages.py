@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.semantics import matched
 
 # How roster pages mark their blocks, items, offices, parties and addresses.
-BLOCK = r'(?s)<div[^>]*class="[^"]*\bwidget-data-list\b[^"]*"[^>]*>.*?</div>'
+BLOCK = r'^<div[^>]*class="[^"]*\bwidget-data-list\b[^"]*"[^>]*>'
 ITEM = r"(?s)<li\b[^>]*>.*?</li>"
 ANCHOR_TAG = r"<a\b[^>]*>"
 ANCHOR = r"(?s)<a\b[^>]*>(.*?)</a>"
@@ -32,10 +32,29 @@ def decoded(text: Column) -> Column:
     return text
 
 
+def roster_blocks(html: Column) -> Column:
+    """Markup of a page's roster blocks, each up to the tag that closes it, whatever is nested inside; an unclosed
+    block reaches to the end of the page."""
+    pieces = F.split(html, r"(?=<div\b|</div\b)")
+
+    def step(state: Column, piece: Column) -> Column:
+        depth = state["depth"]
+        deeper = (
+            F.when(depth == 0, piece.rlike(BLOCK).cast("int"))
+            .when(piece.rlike(r"^<div\b"), depth + 1)
+            .when(piece.rlike(r"^</div\b"), depth - 1)
+            .otherwise(depth)
+        )
+        kept = F.when(deeper > 0, F.concat(state["kept"], F.array(piece))).otherwise(state["kept"])
+        return F.struct(deeper.alias("depth"), kept.alias("kept"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+    return F.aggregate(pieces, start, step, lambda state: F.array_join(state["kept"], ""))
+
+
 def roster_items(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(county, office_bp, candidate, party) of every list item with a name and a party."""
-    blocks = F.regexp_extract_all(F.col(html), F.lit(BLOCK), F.lit(0))
-    listed = F.regexp_extract_all(F.array_join(blocks, ""), F.lit(ITEM), F.lit(0))
+    listed = F.regexp_extract_all(roster_blocks(F.col(html)), F.lit(ITEM), F.lit(0))
     items = pages.select(F.col(url).alias("_url"), F.explode(listed).alias("_item"))
     letter = matched(visible_text(F.col("_item")), PARTY)
     item = F.col("_item")

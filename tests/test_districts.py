@@ -81,6 +81,15 @@ def test_reaggregation(results, sides):
     assert detail == {("House", "X - A101"): ("DEM", 7), ("Senate", "X - A101"): ("DEM", 7)}
 
 
+def test_every_ballot_size_is_in_one_of_the_details(frame, sides):
+    ballot = lambda race, n: [row("x", "A101", f"C{i}", "REP", 5, race=race) for i in range(n)]
+    results = frame(SCHEMA, *ballot("one", 1), *ballot("two", 2), *ballot("four", 4), *ballot("five", 5))
+    rows = districts.district_rows(results, sides)
+    wide, listed = districts.district_detail(rows).collect(), districts.district_detail_listed(rows).collect()
+    assert {(r.chamber, r.race, r.winner) for r in wide} == {(c, r, "Tie") for c in ("House", "Senate") for r in ("two", "four")}
+    assert sorted((r.race, r.candidate) for r in listed if r.chamber == "House") == [("five", f"C{i}") for i in range(5)] + [("one", "C0")]
+
+
 def test_lists_and_races(results, sides):
     assert [r.district for r in districts.district_list(sides).collect()] == ["District 2", "District 10", "District 1"]
     assert {(r.chamber, r.district) for r in districts.district_races(results, sides).collect()} == {

@@ -160,3 +160,19 @@ def test_primary_choices(results, lookup, overrides):
     table = primaries.resolve_parties(results, lookup, overrides)
     labels = {r.label for r in choices.primary_choices(table, lookup).collect()}
     assert {"GOV (Republican)", "GOV (Democratic)", "CLERK (Unlabeled)", "JUDGE", "UNKNOWN RACE"} <= labels
+
+
+def test_each_partys_primary_has_its_own_results(frame):
+    schema = "year INT, election STRING, race STRING, county STRING, precinct STRING, candidate STRING, party STRING, votes BIGINT"
+    place = (2024, "primary", "R", "x", "A101")
+    rows = frame(schema, (*place, "ANN", None, 9), (*place, "BOB", None, 4), (*place, "CAT", None, 6), (*place, "DAN", None, 5))
+    known = [(2024, "R", "ANN", "DEM"), (2024, "R", "BOB", "DEM"), (2024, "R", "CAT", "REP"), (2024, "R", "DAN", "REP")]
+    split = primaries.primary_split(rows, frame("year INT, race STRING, candidate STRING, party STRING", *known))
+    table = {r.token: (r.winner, r.total_votes, r.n_candidates) for r in elections.county_table(split, primaries.PRIMARY).collect()}
+    assert table == {"DEM": ("ANN", 13, 2), "REP": ("CAT", 11, 2), "__ALL__": ("ANN", 24, 4)}
+    ranks = {(r.token, r.candidate): r.party for r in elections.primary_rank(split, primaries.PRIMARY).collect()}
+    assert ranks["REP", "CAT"] == "IND1" and ranks["__ALL__", "CAT"] == "IND2"
+    shown = {r.token: r.winner for r in elections.county_map_results(split, primaries.PRIMARY).collect()}
+    assert shown == {"DEM": "IND1", "REP": "IND1", "__ALL__": "IND1"}
+    assert primaries.picked(split, "REP").count() == 2
+    assert {r.candidate for r in primaries.picked(split, "IND").collect()} == {"ANN", "BOB", "CAT", "DAN"}

@@ -20,6 +20,16 @@ def test_roster_items(frame):
     assert len(rows) == 2
 
 
+def test_roster_blocks_end_at_their_own_closing_tag(frame):
+    item = '<li><a href="/a" title="{0} (Jailer, Kentucky, candidate 2026)">{0}</a> (R)</li>'
+    html = (
+        '</div><div><div class="widget-data-list"><div>x<div></div></div>' + item.format("In") + "</div>" + item.format("Out")
+        + '</div><divider><div id="q" class="a widget-data-list b">' + item.format("Open")
+    )
+    rows = frame("url STRING, html STRING", ("/A_County", html), ("/B_County", None), ("/C_County", ""))
+    assert {r.candidate for r in pages.roster_items(rows).collect()} == {"In", "Open"}
+
+
 def test_links(frame):
     hub = frame("html STRING", ('<a href="/A_County">x</a><a class="k" href="/B_County">y</a><a href="/other">z</a><a>n</a>',), ('<a href="/A_County">',))
     assert {r.url for r in pages.links(hub, r"_County$", "https://h").collect()} == {"https://h/A_County", "https://h/B_County"}
