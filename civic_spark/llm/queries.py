@@ -1,16 +1,17 @@
-"""The ten operators as registered queries, with production parameters, over their whole tables."""
+"""The thirteen operators as registered queries, with production parameters, over their whole tables."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, hnsw, mixing, ngramjoin, packing, quality, sharding, substrings, tokenfile, warc
+from . import covertree, hnsw, merkle, mixing, ngramjoin, packing, quality, sharding, substrings, tokenfile, toxicity, warc, whitening
 
-#: Decisions at this score and above are for the good class.
-GOOD = 0.3
+#: Decisions at these scores and above are for the good class and for the toxic one.
+GOOD, TOXIC = 0.3, 0.5
 
 
 def word_tokenizer() -> str:
@@ -76,11 +77,32 @@ def op10_token_frames(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.token_digest(tokenfile.read_token_files(spark, place))
 
 
+def op11_subword_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, folder, "labels"), ~quality.held_out())
+    return toxicity.score(docs, model).select(
+        "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted")
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    now = F.when(tampered, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    checked = merkle.verified(merkle.build(_table(spark, folder, "documents"), now, fan=8))
+    return checked.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_jacobi_davidson_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, folder, "embeddings"), components=8)
+    return found.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc_normalise, op2_hnsw_search, op3_cover_tree_dedup, op4_substring_dedup, op5_pu_quality,
         op6_source_mix, op7_ngram_join, op8_histogram_shards, op9_vector_packing, op10_token_frames,
+        op11_subword_toxicity, op12_merkle_manifest, op13_jacobi_davidson_whitening,
     )
 }
 
@@ -131,4 +153,45 @@ ORACLES: dict[str, str] = {
         t AS (SELECT text, min(doc_id) AS class_id FROM d WHERE len(w) > 0 GROUP BY text)
         SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, component_id
         FROM d JOIN c ON c.a = doc_id LEFT JOIN k ON k.a = doc_id LEFT JOIN t USING (text)""",
+    "op12_merkle_manifest": """
+        WITH RECURSIVE h AS (
+          SELECT doc_id, lang, concat_ws('', ITEM(doc_id), ITEM(source), ITEM(lang), ITEM(n_chars)) AS head, text,
+            4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+              lambda a, b: list_reduce(list_prepend(xor(a, b), range(0, 8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+          FROM documents),
+        e AS (SELECT doc_id, lang, sha256(concat(head, ITEM(text))) AS leaf, sha256(concat(head, ITEM(text_now))) AS changed
+              FROM (SELECT *, CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS text_now FROM h)),
+        r AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS place,
+                row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, changed) - 1 AS rank, count(*) OVER (PARTITION BY lang) AS n FROM e),
+        t AS (SELECT place, 0 AS lv, rank, leaf AS d, n FROM r UNION ALL
+              SELECT place, lv + 1, rank // 8, sha256(string_agg(d, '' ORDER BY rank)), (n + 7) // 8 FROM t WHERE n > 1 GROUP BY place, lv, rank // 8, n),
+        s AS (SELECT place, lv AS height, d AS subroot FROM t WHERE n = 1),
+        u AS (SELECT 0 AS lv, place AS rank, subroot AS d, (SELECT count(*) FROM s) AS n FROM s UNION ALL
+              SELECT lv + 1, rank // 8, sha256(string_agg(d, '' ORDER BY rank)), (n + 7) // 8 FROM u WHERE n > 1 GROUP BY lv, rank // 8, n),
+        top AS (SELECT lv AS height, d AS root FROM u WHERE n = 1),
+        way AS (SELECT place, rank, lv, rank // (8 ** lv)::BIGINT AS here FROM (SELECT r.place, rank, unnest(range(0, height)) AS lv FROM r JOIN s USING (place))),
+        steps AS (
+          SELECT w.place, w.rank, w.lv, coalesce(string_agg(t.d, '' ORDER BY t.rank) FILTER (t.rank < here), '') AS l, coalesce(string_agg(t.d, '' ORDER BY t.rank) FILTER (t.rank > here), '') AS r
+          FROM way w JOIN t ON t.place = w.place AND t.lv = w.lv AND t.rank // 8 = here // 8 GROUP BY ALL),
+        ups AS (SELECT place, unnest(range(0, (SELECT height FROM top))) AS lv FROM s),
+        upsteps AS (
+          SELECT w.place, w.lv, coalesce(string_agg(u.d, '' ORDER BY u.rank) FILTER (u.rank < place // (8 ** w.lv)::BIGINT), '') AS l,
+            coalesce(string_agg(u.d, '' ORDER BY u.rank) FILTER (u.rank > place // (8 ** w.lv)::BIGINT), '') AS r
+          FROM ups w JOIN u ON u.lv = w.lv AND u.rank // 8 = place // (8 ** (w.lv + 1))::BIGINT GROUP BY ALL),
+        proof AS (SELECT place, rank, lv, l, r FROM steps UNION ALL
+                  SELECT r.place, r.rank, s.height + x.lv, x.l, x.r FROM r JOIN s USING (place) JOIN upsteps x ON x.place = r.place),
+        folded AS (SELECT place, rank, 0 AS lv, changed AS d FROM r UNION ALL
+                   SELECT p.place, p.rank, p.lv + 1, sha256(concat(p.l, f.d, p.r)) FROM folded f JOIN proof p ON p.place = f.place AND p.rank = f.rank AND p.lv = f.lv),
+        ends AS (SELECT place, rank, arg_max(d, lv) AS folded_root FROM folded GROUP BY ALL),
+        told AS (SELECT place, rank, sha256(string_agg(concat(l, r), '' ORDER BY lv)) AS proof_sha256 FROM proof GROUP BY ALL)
+        SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM r JOIN s USING (place) JOIN top ON true JOIN ends USING (place, rank) LEFT JOIN told USING (place, rank)""",
 }
+
+
+def _items(sql: str) -> str:
+    """``ITEM(x)`` written out: ``-`` for NULL, else UTF-8 byte count, colon, value."""
+    return re.sub(r"ITEM\((\w+)\)", r"coalesce(strlen(\1::VARCHAR) || ':' || \1::VARCHAR, '-')", sql)
+
+
+ORACLES = {name: _items(sql) for name, sql in ORACLES.items()}

@@ -138,3 +138,54 @@ def token_rows(docs, encode, end):
         out[d] = (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     return out
+
+
+def merkle(rows, fan=8):
+    """``(doc_id, leaf, subroot, root, proof digest, folded root, verified)`` of rows (doc_id, source, lang, n_chars, text)."""
+    told = lambda *parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    item = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    groups = defaultdict(list)
+    for d, s, lang, n, t in rows:
+        low = t and "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+        now = low if d is not None and zlib.crc32(str(d).encode()) % 3 == 0 else t
+        leaf, changed = (told(*map(item, (d, s, lang, n, x))) for x in (t, now))
+        groups[lang].append((d is not None, d or 0, leaf, changed, d))
+
+    def tree(level):
+        levels = [level]
+        while len(levels[-1]) > 1:
+            levels.append([told(*levels[-1][i : i + fan]) for i in range(0, len(levels[-1]), fan)])
+        return levels
+
+    def siblings(levels, i):
+        out = []
+        for level in levels[:-1]:
+            first = i // fan * fan
+            out.append((level[first:i], level[i + 1 : first + fan]))
+            i //= fan
+        return out
+
+    langs = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {x: tree([leaf for _, _, leaf, _, _ in sorted(groups[x], key=lambda g: g[:4])]) for x in langs}
+    top, out = tree([trees[x][-1][0] for x in langs]), []
+    for k, lang in enumerate(langs):
+        for i, (_, _, leaf, changed, d) in enumerate(sorted(groups[lang], key=lambda g: g[:4])):
+            proof = siblings(trees[lang], i) + siblings(top, k)
+            folded = changed
+            for left, right in proof:
+                folded = told(*left, folded, *right)
+            out.append((d, leaf, trees[lang][-1][0], top[-1][0], told(*[x for a, b in proof for x in a + b]), folded, folded == top[-1][0]))
+    return out
+
+
+def whitening(rows, components=8):
+    """Directly from the covariance: ``(ids, n, deviations, whitened, explained)`` of rows (id, vector)."""
+    kept = [(i, v) for i, v in rows if v is not None and all(e is not None and np.isfinite(e) for e in v)]
+    x = np.array([[int(np.floor(1024 * e)) + 100_000 for e in v] for _, v in kept], dtype=np.int64)
+    n, sums = len(x), [int(s) for s in x.sum(0)]
+    deviation = [sum((n * int(e) - s) ** 2 for e, s in zip(row, sums)) for row in x]
+    y = x - np.array(sums) / n
+    cov = y.T @ y / n
+    values, vectors = np.linalg.eigh(cov)
+    values, vectors = values[::-1][:components], vectors[:, ::-1][:, :components]
+    return [i for i, _ in kept], n, deviation, y @ vectors / np.sqrt(values), values / np.trace(cov)

@@ -31,7 +31,7 @@ def test_stages(spark, tmp_path):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in QUERIES} and QUERIES.keys() | {"pipeline"} <= queries().keys()
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in QUERIES} and QUERIES.keys() | {"pipeline"} <= queries().keys()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
