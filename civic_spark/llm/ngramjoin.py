@@ -121,11 +121,30 @@ def join(docs: DataFrame, n: int = 5, least: float = 0.8, recall: float = 0.9999
     runs have a Jaccard similarity of at least ``least``; a text of fewer words has one run of them all. ``class_id`` is the
     smallest doc_id with the same text, ``n_links`` counts the other rows linked directly, copies included, and
     ``component_id`` is the smallest doc_id reachable by links. Texts without words (NULL, empty, white space) link with
-    nothing and are classes of their own. Rows with a NULL doc_id take no part and come back with NULL classes. Every pair found is exact; a pair of
+    nothing and are classes of their own. A doc_id of several rows has a result for each of them. Rows with a NULL doc_id take no part and come back with NULL classes. Every pair found is exact; a pair of
     similarity ``least`` is found with probability ``recall`` or more, a closer one more likely.
     """
-    bands = bands_for(least, recall, rows)
+    settings = dict(n=n, least=least, recall=recall, rows=rows, block_rows=block_rows, block_bytes=block_bytes)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    if not _ids_repeat(ids):
+        return _join(ids, **settings)
+    numbered = written(ids.withColumn("place", F.monotonically_increasing_id()), "rows")
+    found = written(_join(numbered.where("doc_id is not null").select(F.col("place").alias("doc_id"), "text"), **settings).withColumnRenamed("doc_id", "place"), "found")
+    told = numbered.select("place", "doc_id").join(found, "place", "left")
+    first = [told.groupBy(c).agg(F.min("doc_id").alias(f"first_{c}")) for c in ("class_id", "component_id")]
+    named = told.join(first[0], "class_id", "left").join(first[1], "component_id", "left")
+    return named.select("doc_id", F.col("first_class_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("first_component_id").alias("component_id"))
+
+
+def _ids_repeat(rows: DataFrame) -> bool:
+    """Whether some doc_id stands in several rows: then rows are told apart by their place in a written copy."""
+    ids = rows.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    return bool(ids.groupBy("doc_id").count().where("count > 1").limit(1).count())
+
+
+def _join(ids: DataFrame, n: int, least: float, recall: float, rows: int, block_rows: int, block_bytes: int) -> DataFrame:
+    """The join of rows ``(doc_id, text)`` in which no doc_id occurs twice."""
+    bands = bands_for(least, recall, rows)
     sig = written(signatures(ids.where("doc_id is not null"), n, bands, rows), "signatures")
     classes = written(sig.groupBy("cls", "bands", "bytes").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     needed = _candidates(classes, bands, block_rows, block_bytes)
@@ -221,13 +240,21 @@ def _verified(ids: DataFrame, needed: DataFrame, n: int, least: float) -> DataFr
 
 
 def deduplicated(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that stay: of every group of linked documents the one with the smallest doc_id.
+    """The rows of ``docs`` that stay: of every group of linked rows the one with the smallest doc_id.
 
-    Documents without words and rows without a doc_id stay. Of rows with equal doc_id one stays, if they are linked.
+    Of linked rows with that doc_id, that with the smallest hash of its text stays, of equal rows any one. Rows that are linked with
+    nothing stay, whatever their doc_id: documents without words, rows without a doc_id, rows of one doc_id with unrelated
+    texts. All columns are kept; an empty table stays empty.
     """
-    kept = join(docs, **settings).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = docs.join(written(kept, "kept").withColumnRenamed("doc_id", "_kept"), F.col("doc_id").cast("long") == F.col("_kept"), "left")
-    lone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    stay = rows.where(F.col("_kept").isNotNull() | lone).drop("_kept")
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return stay if not twice else stay.where(lone).union(stay.where(~lone).dropDuplicates(["doc_id"]))
+    if not _ids_repeat(docs):
+        found = join(docs, **settings)
+        gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+        return docs.join(written(gone, "gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("place"))
+    rows = written(rows, "rows")
+    texts = rows.select("place", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text")).where("doc_id is not null")
+    found = join(texts.select(F.col("place").alias("doc_id"), "text"), **settings).select(F.col("doc_id").alias("place"), "component_id")
+    ranked = texts.select("place", "doc_id", F.xxhash64("text").alias("draw")).join(found, "place")
+    first = ranked.groupBy("component_id").agg(F.min(F.struct("doc_id", "draw", "place")).alias("first"))
+    gone = ranked.join(first, "component_id").where("place <> first.place").select("place")
+    return rows.join(written(gone, "gone"), "place", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
