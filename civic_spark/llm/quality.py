@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 
 _KIND = np.zeros(256, np.int64)
 _KIND[[9, 10, 11, 12, 13, 32]] = 1
@@ -68,6 +69,10 @@ def features(raw: bytes) -> np.ndarray:
     return out
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def _expand(x: np.ndarray) -> np.ndarray:
     """Standardised features, and how far each lies from the usual: a text can be odd on either side."""
     x = np.clip(x, -6, 6)
@@ -85,7 +90,7 @@ class Model:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = _expand((x - self.mean) / self.scale) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return _sigmoid(z)
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4, seed: int = 3) -> Model:
@@ -105,12 +110,11 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: in
     w = np.zeros(p.shape[1])
     w[-1] = np.log(prior / max(1 - prior, 1e-6))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, rounds + 1):
         zp, zu = p @ w, u @ w
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_pos = p.T @ (sigmoid(zp) - 1) / len(p) * prior
-        g_neg = u.T @ sigmoid(zu) / len(u) - prior * (p.T @ sigmoid(zp)) / len(p)
+        g_pos = p.T @ (_sigmoid(zp) - 1) / len(p) * prior
+        g_neg = u.T @ _sigmoid(zu) / len(u) - prior * (p.T @ _sigmoid(zp)) / len(p)
         g = g_pos + g_neg if negative >= 0 else -g_neg
         g += decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -118,38 +122,67 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: in
     return Model(mean, scale, w, prior)
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 200, rate: float = 0.05, risk: float = 0.1) -> float:
+    """Share of positives among the unlabelled, from the two sets alone, without any negative label.
+
+    A logistic model learns on every second row to tell positives from unlabelled ones. Among the other rows, the share of
+    unlabelled ones that score at least t, divided by the same share of positives, is no smaller than the prior at any t, and comes down
+    to it where hardly any negative scores so high. The t taken has the smallest such ratio with its sampling error added.
+    """
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    mean, scale = unlabelled.mean(0, dtype=np.float64), np.maximum(np.concatenate([positive, unlabelled]).std(0, dtype=np.float64), 1e-3)
+    (p, p_rest), (u, u_rest) = ([_expand((x[k::2] - mean) / scale) for k in (0, 1)] for x in (positive, unlabelled))
+    w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
+    for step in range(1, rounds + 1):
+        g = p.T @ (_sigmoid(p @ w) - 1) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + 1e-3 * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= rate * (1 - step / (rounds + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    zp, zu = np.sort(p_rest @ w), np.sort(u_rest @ w)
+    cuts = np.unique(zp)
+    share_p, share_u = (1 - np.searchsorted(z, cuts, side="left") / len(z) for z in (zp, zu))
+    # both shares are within these bounds of the true ones, at every t at once, with probability 1 - risk (Dvoretzky-Kiefer-Wolfowitz)
+    error = sum(np.sqrt(np.log(4 / risk) / (2 * len(z))) for z in (zu, zp))
+    best = np.argmin((share_u + error) / share_p)
+    return float(np.clip(share_u[best] / share_p[best], 0.01, 0.99))
+
+
 def _featured(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t or b"").tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], names=["kind", "x"])
+            x = [features(t or b"").tobytes() for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], names=["kind", "draw", "x"])
 
-    return texts.select("kind", F.col("text").cast("string")).mapInArrow(run, "kind int, x binary")
+    return texts.select("kind", "draw", F.col("text").cast("string")).mapInArrow(run, "kind int, draw long, x binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows_kept: int = 10_000, seed: int = 3) -> Model:
-    """A model from documents ``(doc_id, text)`` and ``labels (doc_id, quality)``, of which only rows with ``learn`` true count.
-
-    ``rows_kept`` bounds what training reads: that many positives, and that many unlabelled documents, drawn by a seeded
-    hash of doc_id from those that ``learn`` allows. The class prior is the share of good texts among all labels that may
-    be learned from; labels of NULL or other values than 0 and 1 are left out, as are NULL ids.
-    """
-    known = labels.where(learn & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality")
-    good, all_ = known.agg(F.coalesce(F.sum("quality"), F.lit(0)), F.count("*")).first()
-    prior = float(np.clip((good + 1) / (all_ + 2), 0.01, 0.99))
+def samples(docs: DataFrame, labels: DataFrame, learn: Column, rows_kept: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of at most ``rows_kept`` positives and as many unlabelled rows, drawn by seeded hashes."""
+    known = labels.where(learn & (F.col("quality") == 1) & F.col("doc_id").isNotNull())
     draw = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))
-    positive = known.where("quality = 1").select("doc_id").distinct().orderBy(draw, "doc_id").limit(rows_kept).select("doc_id", F.lit(1).alias("kind"))
+    positive = known.select("doc_id").distinct().orderBy(draw, "doc_id").limit(rows_kept).select("doc_id", F.lit(1).alias("kind"))
     others = docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     unlabelled = others.orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id").cast("long")), "doc_id").limit(rows_kept).select("doc_id", F.lit(0).alias("kind"))
     ids = positive.union(unlabelled)  # at most 2 x rows_kept ids
-    drawn = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("kind", "text")
-    rows = _featured(drawn).collect()  # bounded by rows_kept
-    both = {0: [], 1: []}
-    for r in rows:
-        both[r["kind"]].append(np.frombuffer(bytes(r["x"]), np.float32))
-    # repeated ids may bring more rows than ids, and rows come in any order: sorted, so that training is repeatable
-    p, u = (np.array(sorted(map(tuple, both[k])), np.float32).reshape(-1, N_FEATURES) for k in (1, 0))
-    return train(p, u, prior)
+    drawn = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("kind", F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"), "text")
+    rows = written(_featured(drawn), "features")
+    out = []
+    for kind in (1, 0):  # an id may stand in many rows, so the rows are limited too; sorted, so that training is repeatable
+        found = rows.where(F.col("kind") == kind).orderBy("draw", "x").limit(rows_kept).collect()
+        out.append(np.array([np.frombuffer(bytes(r["x"]), np.float32) for r in found], np.float32).reshape(-1, N_FEATURES))
+    return out[0], out[1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows_kept: int = 10_000, seed: int = 3) -> Model:
+    """A model from documents ``(doc_id, text)`` and ``labels (doc_id, quality)``, of which only rows with ``learn`` true count.
+
+    ``rows_kept`` bounds what training reads: that many positive rows, and that many unlabelled rows, drawn by a seeded hash
+    from those that ``learn`` allows. Of the labels only the positives are used: the class prior is estimated from positives
+    and unlabelled texts. Labels other than 1 and NULL ids are left out; an id that stands in several rows brings them all,
+    within the bound.
+    """
+    positive, unlabelled = samples(docs, labels, learn, rows_kept, seed)
+    return train(positive, unlabelled, estimated_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
