@@ -114,8 +114,9 @@ def build(docs: DataFrame, changed_text: Column | None = None, fan: int = 8) ->
     hashed = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), was.alias("leaf"), now.alias("changed")), "leaves")
     leaves = written(ranked(hashed, "lang", ["doc_id", "leaf", "changed"], "rank"), "leaves")
     ends, records = _levels(leaves.select("lang", "rank", F.col("leaf").alias("digest")), "lang", fan)
-    groups = written(ranked(ends.select("lang", F.col("digest").alias("subroot"), "height"), None, ["lang"], "place"), "groups")
-    tops, more = _levels(groups.select(F.lit(0).alias("all"), F.col("place").alias("rank"), F.col("subroot").alias("digest")), "all", fan)
+    groups = ranked(ends.select("lang", F.col("digest").alias("subroot"), "height"), None, ["lang"], "place")
+    groups = written(groups.withColumn("all", F.lit(0)), "groups")  # the one group of the upper tree
+    tops, more = _levels(groups.select("all", F.col("place").alias("rank"), F.col("subroot").alias("digest")), "all", fan)
     last = tops.first()
     store = hashed.select(F.col("leaf").alias("digest"), F.array("leaf").alias("children")).limit(0)
     for table in [*records, *more]:
