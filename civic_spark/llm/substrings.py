@@ -6,17 +6,18 @@ partitioned by their prefix, the anchor's words. A prefix that occurs once is dr
 fit in memory, and each group's suffixes are sorted into the order of a suffix tree: its internal nodes are the intervals
 of neighbours with long common prefixes. A node that reaches from an anchor to the end of a window, split by the words
 to the left of the anchor, is a repeat; maximal repeats are what windows of such nodes cover together. A prefix with more
-different surroundings than a group should hold is made longer, up to the whole window.
+different surroundings than a group should hold is made longer, by half each time, until what shares it fits a group; one
+as long as the window is a node by itself.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,17 +136,17 @@ def _unpacked(at: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 class Lists:
-    """Rows of a table in the shared folder for one file of the input at a time, by row key. A row may hold lists of keys and
-    places that share its other columns."""
+    """Rows of a table in the shared folder for one block of the input at a time, by row number. A row may hold lists of numbers
+    and places that share its other columns."""
 
     def __init__(self, path: str, columns: list[str]):
         self.path, self.columns, self.at, self.rows = path, columns, None, {}
 
-    def of(self, loc: int) -> dict[int, tuple[int, int]]:
-        """Row key to the bounds of its rows in ``self.table``; the rows of other files are let go."""
-        if loc != self.at:
-            system, path = place(f"{self.path}/loc={loc}")
-            self.at, self.rows, self.table = loc, {}, [np.empty(0, np.int64) for _ in self.columns]
+    def of(self, loc: int, block: int) -> dict[int, tuple[int, int]]:
+        """Row number to the bounds of its rows in ``self.table``; the rows of other blocks are let go."""
+        if (loc, block) != self.at:
+            system, path = place(f"{self.path}/loc={loc}/block={block}")
+            self.at, self.rows, self.table = (loc, block), {}, [np.empty(0, np.int64) for _ in self.columns]
             if system.get_file_info(path).type.name == "Directory":
                 found = ds.dataset(path, filesystem=system, format="parquet").to_table(columns=["rk", *self.columns])
                 rows = {c: found[c].combine_chunks() for c in found.column_names}
@@ -164,31 +165,46 @@ class Lists:
         return self.rows
 
 
-def _located(docs: DataFrame) -> DataFrame:
-    """``row`` (all columns), ``doc_id, text, rk, loc``: a key of the row, and of the file that it is read from.
+def _from_files(docs: DataFrame) -> bool:
+    """Whether every row comes straight from a file, so that its file and row number are known."""
+    if "_metadata" in docs.columns:
+        return False
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema
+    except AnalysisException:
+        return False
+    return True
 
-    What is found out about a text later comes back to it through a table partitioned by file, so the texts themselves are
-    never shuffled. Rows that do not come straight from files are written to the shared folder first.
+
+def _located(docs: DataFrame, block_rows: int) -> DataFrame:
+    """``row`` (all columns), ``doc_id, text, loc, block, rk``: the file that a row is read from, its block there, its number.
+
+    What is found out about a text later comes back to it through tables partitioned by file and block of ``block_rows`` rows,
+    so the texts themselves are never shuffled and a reader holds the lists of one block. Rows that do not come straight
+    from files are written to the shared folder first.
     """
-    if docs.where(F.input_file_name() == "").limit(1).count():
-        docs = written(docs, "docs")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.input_file_name()).alias("loc"))
-    return rows.withColumn("rk", F.xxhash64("doc_id", "text"))
+    rows = docs.select(row) if _from_files(docs) else written(docs.select(row), "docs")
+    at = F.col("_metadata.row_index")
+    return rows.select(
+        "row", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"),
+        F.xxhash64(F.col("_metadata.file_path")).alias("loc"), F.expr(f"_metadata.row_index div {block_rows}").alias("block"), at.alias("rk"),
+    )
 
 
 def _listed(rows: DataFrame, name: str) -> str:
-    """Writes ``rk, loc, ...`` partitioned by file of the input, for ``Lists``."""
+    """Writes ``rk, loc, block, ...`` partitioned by file and block of the input, for ``Lists``; a task writes a block."""
     path = shared_folder(rows.sparkSession, name)
-    rows.repartition("loc").sortWithinPartitions("loc").write.option("compression", "zstd").partitionBy("loc").parquet(path)
+    dealt = rows.repartition("loc", "block").sortWithinPartitions("loc", "block")
+    dealt.write.option("compression", "zstd").partitionBy("loc", "block").parquet(path)
     return path
 
 
 def repeats(located: DataFrame, size: int = 35, prefix: int = 8, group_contents: int = 2048, bucket_contents: int = 8000) -> str:
-    """Finds all repeated windows of the texts; returns the folder with, per file and row, the anchors that have any.
+    """Finds all repeated windows of the texts; returns the folder with, per file, block and row, the anchors that have any.
 
     ``size`` words make a window, ``prefix`` words an anchor. A prefix with more than ``group_contents`` different
-    surroundings is lengthened to whole windows; groups hold about ``bucket_contents`` contents together.
+    surroundings is lengthened; groups hold about ``bucket_contents`` contents together.
     """
     if not 0 < prefix <= size < 64:
         raise ValueError("prefix and size must satisfy 0 < prefix <= size < 64")
@@ -196,113 +212,144 @@ def repeats(located: DataFrame, size: int = 35, prefix: int = 8, group_contents:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
-            rk, loc = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            rk, loc, block = (batch.column(i).to_numpy() for i in (1, 2, 3))
             for i, text in enumerate(batch.column(0).cast(pa.binary()).to_pylist()):
                 key, content, start, off, wins, times = anchors((text or b"").split(), size, prefix)
                 if len(key):
-                    out.append((key, content, np.full(len(key), rk[i]), np.full(len(key), loc[i]), _packed(start, off, wins, times)))
+                    out.append((key, content, *(np.full(len(key), x[i]) for x in (rk, loc, block)), _packed(start, off, wins, times)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names=["key", "content", "rk", "loc", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names=["key", "content", "rk", "loc", "block", "at"])
 
-    found = written(located.select("text", "rk", "loc").mapInArrow(find, "key long, content long, rk long, loc long, at long"), "anchors")
+    places = "key long, content long, rk long, loc long, block long, at long"
+    found = written(located.select("text", "rk", "loc", "block").mapInArrow(find, places), "anchors")
     times = F.col("at").bitwiseAND(F.lit(0x1FFFFF))
     live_keys = written(found.groupBy("key").agg(F.sum(times).alias("n")).where("n > 1").select("key"), "live-keys")
     live = written(found.join(live_keys, "key"), "live")
-    contents = written(live.groupBy("key", "content").agg(F.sum(times).alias("n"), F.min(F.struct("loc", "rk", "at")).alias("one")), "contents")
-    several = written(contents.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "several")
-    wanted = contents.join(several, "key").select("key", "content", "n", (F.col("c") > group_contents).cast("long").alias("heavy"), "one.loc", "one.rk", "one.at")
+    contents = written(live.groupBy("key", "content").agg(F.sum(times).alias("n"), F.min(F.struct("loc", "block", "rk", "at")).alias("one")), "contents")
+    widths = contents.groupBy("key").agg((F.count("*") > group_contents).cast("long").alias("heavy"))
+    wanted = contents.join(widths, "key").select("key", "content", "n", "heavy", "one.loc", "one.block", "one.rk", "one.at")
     to_read = _listed(wanted, "to-read")
     windows = written(_surroundings(located, to_read, size), "windows")
     buckets = max(1, -(-windows.where("heavy = 0").count() // bucket_contents))
-    masks = written(_subtrees(windows.where("heavy = 0"), buckets, size).union(_whole_windows(windows.where("heavy = 1"))), "masks")
-    # what occurs twice as it is, is repeated throughout; the rest as the subtrees have it
-    every = F.expr(f"(1L << {size - prefix + 1}) - 1")
-    known = contents.join(masks, ["key", "content"], "left").select("key", "content", F.when(F.col("n") > 1, every).otherwise(F.coalesce("mask", F.lit(0))).alias("mask")).where("mask <> 0")
-    # the places of a content in one file share a row: a passage that very many documents hold moves few rows
-    packed = written(live.groupBy("key", "content", "loc").agg(F.collect_list(F.struct("rk", "at")).alias("places")), "places")
-    answers = packed.join(written(known, "known"), ["key", "content"]).select("loc", F.col("places.rk").alias("rk"), F.col("places.at").alias("at"), "mask")
+    fitting = _subtrees(windows.where("heavy = 0").withColumn("grp", F.col("key")), buckets, size)
+    masks = written(fitting.union(_lengthened(windows.where("heavy = 1").drop("heavy"), size, prefix, group_contents, bucket_contents)), "masks")
+    # the places of a content in one block share a row: a passage that very many documents hold moves few rows
+    packed = written(live.groupBy("key", "content", "loc", "block").agg(F.collect_list(F.struct("rk", "at")).alias("places")), "places")
+    answers = packed.join(masks, ["key", "content"]).select("loc", "block", F.col("places.rk").alias("rk"), F.col("places.at").alias("at"), "mask")
     return _listed(answers, "repeats")
 
 
+def _outward(words: list[bytes], off: int) -> bytes:
+    """A window read from its anchor: to its end, then from before the anchor back to its start."""
+    return b" ".join([*words[off:], *words[:off][::-1]])
+
+
 def _surroundings(located: DataFrame, path: str, size: int) -> DataFrame:
-    """``key, content, n, heavy, off, wins, text``: the words of each content; of a prefix to be lengthened, one row per window, named by its digest."""
-    schema = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("heavy", pa.int64()), ("off", pa.int64()), ("wins", pa.int64()), ("text", pa.binary())])
+    """``key, content, n, heavy, off, wins, text``: the words of each content; of a prefix to be lengthened one row per window,
+    read outward from the anchor."""
+    schema = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("heavy", pa.int64()), ("off", pa.int64()), ("wins", pa.int64()), ("text", pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = Lists(path, ["key", "content", "n", "heavy", "at"])
-        done: set[int] = set()
         for batch in batches:
-            rk, loc = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            rk, loc, block = (batch.column(i).to_pylist() for i in (1, 2, 3))
             texts, rows = batch.column(0).cast(pa.binary()), []
             for i in range(len(rk)):
-                bounds = lists.of(loc[i]).get(rk[i])
-                if bounds is None or rk[i] in done:  # a repeated row is read once
+                bounds = lists.of(loc[i], block[i]).get(rk[i])
+                if bounds is None:
                     continue
-                done.add(rk[i])
                 words = texts[i].as_py().split()
                 part = slice(*bounds)
                 key, content, n, heavy, at = (c[part] for c in lists.table)
                 for k, c, m, wide, s, o, w in zip(key.tolist(), content.tolist(), n.tolist(), heavy.tolist(), *(x.tolist() for x in _unpacked(at)[:3])):
                     if wide:
-                        for j in range(w):
-                            told = hashlib.blake2b(b" ".join(words[s + j : s + j + size]), digest_size=16).digest()
-                            rows.append((k, c, m, 1, o - j, 1, told))
+                        rows += [(k, c, m, 1, o - j, 1, _outward(words[s + j : s + j + size], o - j)) for j in range(w)]
                     else:
                         rows.append((k, c, m, 0, o, w, b" ".join(words[s : s + w - 1 + size])))
                 if len(rows) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if t.name == "text" else t.type).cast(t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if t.name == "text" else t.type).cast(t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
+
+    return located.select("text", "rk", "loc", "block").mapInArrow(read, "key long, content long, n long, heavy long, off long, wins long, text string")
 
-    return located.select("text", "rk", "loc").mapInArrow(read, "key long, content long, n long, heavy long, off long, wins long, text binary")
+
+MASKS = "key long, content long, mask long"
 
 
 def _subtrees(windows: DataFrame, buckets: int, size: int) -> DataFrame:
-    """``key, content, mask`` of the prefixes that fit a group; each task builds the subtrees of one bucket of prefixes."""
+    """``key, content, mask`` from ``grp, key, content, n, off, wins, text``; each task builds the subtrees of one bucket of groups.
+
+    Texts are compared within a group. A content may have several rows, with a window each; its bits come in several rows then.
+    """
 
     def grow(table: pa.Table) -> pa.Table:
-        key, content, n, off, wins = (table[c].to_numpy() for c in ("key", "content", "n", "off", "wins"))
-        words = [t.split() for t in table["text"].to_pylist()]
-        # a content found through several equal row keys counts once
-        at = np.sort(np.unique(np.stack([key, content], 1), axis=0, return_index=True)[1])
-        mask = repeated_starts(key[at], n[at], off[at], wins[at], [words[i] for i in at], size)
+        group, key, content, n, off, wins = (table[c].to_numpy() for c in ("grp", "key", "content", "n", "off", "wins"))
+        words = [t.split() for t in table["text"].cast(pa.binary()).to_pylist()]
+        mask = repeated_starts(group, n, off, wins, words, size)
         some = np.flatnonzero(mask)
-        return pa.table({"key": key[at][some], "content": content[at][some], "mask": mask[some]})
+        return pa.table({"key": key[some], "content": content[some], "mask": mask[some]})
 
-    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
-    return windows.select(bucket, "key", "content", "n", "off", "wins", "text").groupBy("bucket").applyInArrow(grow, "key long, content long, mask long")
+    bucket = F.pmod(F.xxhash64("grp"), F.lit(buckets)).alias("bucket")
+    return windows.select(bucket, "grp", "key", "content", "n", "off", "wins", "text").groupBy("bucket").applyInArrow(grow, MASKS)
 
 
-def _whole_windows(windows: DataFrame) -> DataFrame:
-    """``key, content, mask`` of the prefixes lengthened to whole windows, which are single nodes."""
-    rows = windows.select("key", "content", "n", "off", F.col("text").alias("told")).distinct()
-    twice = written(rows.groupBy("key", "off", "told").agg(F.sum("n").alias("m")).where("m > 1").select("key", "off", "told"), "twice")
-    return rows.join(twice, ["key", "off", "told"]).groupBy("key", "content").agg(F.expr("bit_or(1L << cast(off as int))").alias("mask"))
+def _lengthened(windows: DataFrame, size: int, prefix: int, group_contents: int, bucket_contents: int) -> DataFrame:
+    """``key, content, mask`` of prefixes whose surroundings do not fit a group, from their windows read outward.
 
-
-def without_repeats(docs: DataFrame, size: int = 35, prefix: int = 8, whole_row: bool = False, **settings) -> DataFrame:
+    Windows with the anchor at the same place share a prefix of that reading. It grows by half each time; branches of at most
+    ``group_contents`` rows become subtrees, the others go on. Windows that share all ``size`` words are one node,
+    whose occurrences are added up without gathering them.
+    """
+    out, length = [], prefix
+    windows = written(windows, "long")
+    while length < size and not windows.isEmpty():
+        length = min(size, length + (length + 1) // 2)
+        branch = F.xxhash64("key", "off", F.substring_index("text", " ", length))
+        rows = windows.withColumn("grp", branch)
+        if length == size:
+            nodes = rows.groupBy("grp").agg(F.sum("n").alias("times")).where("times > 1").select("grp")
+            out.append(rows.join(nodes, "grp").select("key", "content", F.expr("1L << cast(off as int)").alias("mask")))
+            break
+        wide = rows.groupBy("grp").agg(F.count("*").alias("c")).where(F.col("c") > group_contents).select("grp", F.lit(1).alias("wide"))
+        split = written(rows.join(wide, "grp", "left"), "long")
+        fits = split.where("wide is null")
+        buckets = max(1, -(-fits.count() // bucket_contents))
+        natural = F.split("text", " ")
+        ahead = F.slice(natural, 1, F.lit(size) - F.col("off").cast("int"))
+        behind = F.reverse(F.slice(natural, F.lit(size + 1) - F.col("off").cast("int"), F.greatest(F.col("off").cast("int"), F.lit(0))))
+        in_order = fits.withColumn("text", F.array_join(F.concat(behind, ahead), " "))
+        out.append(written(_subtrees(in_order, buckets, size), "masks"))
+        windows = split.where("wide = 1").drop("grp", "wide")
+    found = windows.sparkSession.createDataFrame([], MASKS)
+    for part in out:
+        found = found.union(part)
+    return found.groupBy("key", "content").agg(F.expr("bit_or(mask)").alias("mask"))
+
+
+def without_repeats(docs: DataFrame, size: int = 35, prefix: int = 8, whole_row: bool = False, block_rows: int = 16_384, **settings) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` of every row of ``docs (doc_id, text)``: the text without its repeated windows.
 
     Words are runs of bytes other than white space, unchanged. A word goes if it lies in a window of ``size`` words whose
     words also stand, in order, from another place on: in another document, in a repeated row, or elsewhere in the same one.
     Windows are judged on the input. ``kept`` joins the words left with single spaces (empty for NULL, empty and blank texts,
     which have no words). Texts shorter than a window keep every word. NULL doc_ids stay. An empty table gives no rows.
-    ``whole_row`` adds all columns of the input as one struct ``row``.
+    ``whole_row`` adds all columns of the input as one struct ``row``. A block is ``block_rows`` rows of one file.
     """
-    located = _located(docs)
+    located = _located(docs, block_rows)
     path = repeats(located, size, prefix, **settings)
-    inputs = located.select("text", "rk", "loc", "doc_id", *(["row"] if whole_row else []))
+    inputs = located.select("text", "rk", "loc", "block", "doc_id", *(["row"] if whole_row else []))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = Lists(path, ["at", "mask"])
         for batch in batches:
-            rk, loc = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            rk, loc, block = (batch.column(i).to_pylist() for i in (1, 2, 3))
             texts = batch.column(0).cast(pa.binary())
             total, gone, kept = [], [], []
             for i in range(len(rk)):
                 words = (texts[i].as_py() or b"").split()
-                bounds = lists.of(loc[i]).get(rk[i])
+                bounds = lists.of(loc[i], block[i]).get(rk[i])
                 total.append(len(words))
                 if bounds is None:
                     gone.append(0)
@@ -312,7 +359,7 @@ def without_repeats(docs: DataFrame, size: int = 35, prefix: int = 8, whole_row:
                     words = [w for w, x in zip(words, out.tolist()) if not x]
                     gone.append(int(out.sum()))
                 kept.append(b" ".join(words).decode("utf-8"))
-            arrays = [batch.column(3), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), *batch.columns[4:]]
+            arrays = [batch.column(4), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), *batch.columns[5:]]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_words", "n_removed", "kept", *(["row"] if whole_row else [])])
 
     shape = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
