@@ -127,7 +127,7 @@ def test_cover_tree_prunes_nothing_near():
     assert {tuple(p) for p in near.tolist()} <= set(zip(i.tolist(), j.tolist())) and len(i) < 400 * 400
 
 
-@pytest.mark.parametrize("settings", [{}, {"group_contents": 1, "bucket_contents": 2}])
+@pytest.mark.parametrize("settings", [{}, {"group_contents": 1, "bucket_contents": 2, "block_rows": 2}, {"group_contents": 3, "bucket_contents": 4, "block_rows": 1}])
 def test_substrings(spark, texts, none, settings):
     got = keyed(substrings.without_repeats(texts, **settings), "doc_id", "n_words", "n_removed", "kept")
     assert got == brute.without_repeats(TEXTS, 35)
@@ -139,6 +139,39 @@ def test_substrings_whole_table(spark):
     assert keyed(QUERIES["op4_substring_dedup"](spark, FOLDER), "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
 
+def test_substrings_lengthened_prefixes(spark):
+    """Very many surroundings of one prefix: its windows are told apart by longer and longer prefixes."""
+    rng = np.random.default_rng(12)
+    stem = [f"a{i}" for i in range(8)]
+    rows = []
+    for d in range(160):
+        before, after = ([f"{w}{rng.integers(0, 2)}" for w in "bcdefghijk" for _ in range(4)] for _ in range(2))
+        rows.append((d, " ".join([*before, *stem, *after])))
+    rows += [(200 + d, rows[d][1]) for d in range(0, 160, 9)] + [(600 + d, rows[d][1] + " tail") for d in range(0, 160, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = keyed(substrings.without_repeats(docs, group_contents=3, bucket_contents=20, block_rows=16), "doc_id", "n_words", "n_removed", "kept")
+    assert got == brute.without_repeats(rows, 35)
+
+
+def test_substrings_one_file_has_many_lists(spark, tmp_path):
+    """A file of many rows: its lists are kept in blocks, each written by a task of its own."""
+    rows = [(d, " ".join(f"v{(d % 50) * 100 + i}" for i in range(40))) for d in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/one")
+    docs = spark.read.parquet(f"{tmp_path}/one")
+    located = substrings._located(docs, 64)
+    assert located.select("loc").distinct().count() == 1 and located.select("block").distinct().count() == 10
+    folder = substrings.repeats(located)
+    kept = spark.read.parquet(folder)
+    assert kept.select("block").distinct().count() == 10
+    files = [f for f in kept.inputFiles()]
+    assert len(files) >= 10 and all("/block=" in f for f in files)
+    lists = substrings.Lists(folder, ["at", "mask"])
+    loc = located.first()["loc"]
+    assert all(set(lists.of(loc, b)) <= set(range(64 * b, 64 * b + 64)) and lists.of(loc, b) for b in range(10))
+    got = keyed(substrings.without_repeats(docs, block_rows=64), "doc_id", "n_words", "n_removed", "kept")
+    assert got == brute.without_repeats(rows, 35)
+
+
 def test_substrings_rows_without_files(spark):
     rows = spark.createDataFrame([(1, PASSAGE), (1, PASSAGE), (None, "a b")], "doc_id long, text string")
     got = sorted((r["n_words"], r["n_removed"]) for r in substrings.without_repeats(rows).collect())
@@ -157,6 +190,43 @@ def test_quality(spark, texts, none):
     assert quality.score(none, quality.fit(none, labels.limit(0), F.lit(True))).count() == 0
 
 
+def test_quality_risk_is_the_formula():
+    """The trained weights do not raise the non-negative risk, written out row by row."""
+    rng = np.random.default_rng(8)
+    good, bad = rng.normal(1, 1, (300, quality.N_FEATURES)), rng.normal(-1, 1, (100, quality.N_FEATURES))
+    positive, unlabelled = good[:120].astype(np.float32), np.concatenate([good[120:], bad]).astype(np.float32)
+    prior = len(good[120:]) / len(unlabelled)
+
+    def risk(model):
+        loss = lambda s, y: -np.log(max(s if y else 1 - s, 1e-12))
+        as_good = np.mean([loss(s, 1) for s in model.score(positive)])
+        as_bad = np.mean([loss(s, 0) for s in model.score(positive)])
+        return prior * as_good + max(0.0, np.mean([loss(s, 0) for s in model.score(unlabelled)]) - prior * as_bad)
+
+    short, long = quality.train(positive, unlabelled, prior, rounds=2), quality.train(positive, unlabelled, prior)
+    assert risk(long) < risk(short)
+    assert (long.score(good) > 0.5).mean() > 0.95 and (long.score(bad) < 0.5).mean() > 0.95
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_prior_from_positives_and_unlabelled(share):
+    rng = np.random.default_rng(9)
+    make = lambda middle, n: rng.normal(middle, 1, (n, quality.N_FEATURES)).astype(np.float32)
+    n = 3000
+    found = quality.estimated_prior(make(0.4, 1500), np.concatenate([make(0.4, int(n * share)), make(-0.4, n - int(n * share))]))
+    assert abs(found - share) < 0.08  # 1500 and 3000 rows, half of them to estimate from
+    assert quality.estimated_prior(make(0, 0), make(0, 9)) == 0.5
+
+
+def test_quality_reads_a_bounded_sample(spark):
+    docs = spark.range(3000).selectExpr("id % 3 AS doc_id", "concat('text ', id) AS text")  # an id of very many rows
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
+    positive, unlabelled = quality.samples(docs, labels, F.lit(True), 50, 3)
+    assert len(positive) == len(unlabelled) == 50
+    again = quality.samples(docs.repartition(7), labels, F.lit(True), 50, 3)
+    assert (positive == again[0]).all() and (unlabelled == again[1]).all()
+
+
 def test_mix(spark, texts, none):
     docs = [(d, t, "abc"[d % 3] if d % 5 else None) for d, t in TEXTS]
     sizes = defaultdict(int)
@@ -200,6 +270,24 @@ def test_ngram_join(spark, texts, none):
     assert kept.columns == texts.columns and {r["doc_id"] for r in kept.collect()} == {d for d, v in got.items() if v[2] == d}
 
 
+SAME = " ".join(f"s{i}" for i in range(50))
+REPEATED = [(1, PASSAGE), (1, "quite another text of a few words"), (1, PASSAGE), (2, PASSAGE + " more"), (3, SAME), (3, SAME + " x"), (None, SAME), (None, None), (4, ""), (4, ""), (5, "alone")]
+
+
+def test_ngram_join_of_repeated_ids(spark):
+    """Rows of one doc_id are rows of their own: linked or not by their texts."""
+    rows = spark.createDataFrame(REPEATED, "doc_id long, text string").select("*", F.lit("k").alias("place"), F.lit(1).alias("row"))
+    got = sorted((r["doc_id"] or -1, r["class_id"], r["n_links"], r["component_id"]) for r in ngramjoin.join(rows).collect() if r["doc_id"])
+    # the two rows of equal text, and that with one word more, are linked; the unrelated one is not
+    assert got == [(1, 1, 0, 1), (1, 1, 2, 1), (1, 1, 2, 1), (2, 2, 2, 1), (3, 3, 1, 3), (3, 3, 1, 3), (4, 4, 0, 4), (4, 4, 0, 4), (5, 5, 0, 5)]
+    kept = ngramjoin.deduplicated(rows)
+    assert kept.columns == rows.columns
+    found = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    threes = [t for d, t in found if d == 3]
+    assert len(threes) == 1 and [x for x in found if x[0] != 3] == [(0, ""), (0, SAME), (1, PASSAGE), (1, "quite another text of a few words"), (4, ""), (4, ""), (5, "alone")]
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in ngramjoin.deduplicated(rows.repartition(5)).collect()) == found
+
+
 def test_bands_meet_the_recall():
     for rows in (3, 4, 5):
         bands = ngramjoin.bands_for(0.8, 0.9999, rows)
@@ -235,10 +323,21 @@ def encode():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(word_tokenizer())
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_is_the_library(encode):
+    """Words, signs, marks and special strings in any mixture, against the plain tokenizer."""
+    rng = np.random.default_rng(7)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "it's", "DON'T", "'re", "x'LL", "naïve,", "ÑANDÚ!!", " ", "\n", "\x1c", "\x85", "\u00a0", "ß", "İ", "ſ", "ﬁ", "é", "e\u0301", "中文", "٣", "🙂", "Σς", "a", "b'", "9", "...", "µ", "×"]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 12))) for _ in range(3000)] + ["long" * 5000, "é" * 3000]
+    from civic_spark.llm.tokens import Encoder
+
+    got = Encoder(word_tokenizer()).encode([t.encode() for t in texts] + [None])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [*map(encode, texts), []]
+    assert encode("a <|endoftext|> b") == [320, 49407, 321]
+
+
 def test_packing(spark, texts, none, encode):
     rows = packing.pack_documents(texts, word_tokenizer(), 2, 512, 3).collect()
     parts, bins = defaultdict(list), defaultdict(list)

@@ -30,6 +30,39 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+GOOD = [" ".join(f"Word{(i * 7 + k) % 90} ending." for k in range(40 + i % 9)) for i in range(60)]
+ODD = [(None, None), (None, "no id"), (1, GOOD[1]), (1, GOOD[1]), (1, "another text under the id of one"), (2, ""), (3, " \n "), (4, "long" * 20_000), (5, "w " * 30_000), (6, "?")]
+
+
+@pytest.mark.parametrize("stage", range(5))
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_stages_on_odd_rows(spark, tmp_path, stage, kind):
+    """Nulls in every column, equal ids with different texts, repeated rows, empty and long texts, clashing columns."""
+    rows = ODD + [(100 + i, t) for i, t in enumerate(GOOD)] if kind == "odd" else []
+    rows = [(d, t, "en" if k % 3 else None, f"src{k % 2}" if k % 4 else None, len(t or "") if k % 5 else None, "q", 1.0, 7, None) for k, (d, t) in enumerate(rows)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, score double, place long, kept string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(100 + i, 1, 0) for i in range(0, 60, 2)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.STAGES[stage][1](spark, docs, str(tmp_path))
+    found = out.collect()
+    if kind == "empty":
+        assert not found
+        return
+    if stage < 4:
+        assert out.columns == docs.columns
+    told = sorted((r["doc_id"] or 0, r["text"] or "") for r in found) if stage < 4 else []
+    given = sorted((r[0] or 0, r[1] or "") for r in rows)
+    if stage == 1:  # repeated rows go, unrelated texts of one id and wordless ones stay
+        assert [x for x in told if x[0] < 100] == sorted({x for x in given if x[0] < 100})
+    if stage == 2:
+        assert len(found) == len(rows)
+    if stage == 3:
+        assert {x for x in told} <= set(given)
+    if stage == 4:
+        assert sum(r["start"] == 0 for r in found) == len(rows)
+
+
 def test_registered():
     assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in QUERIES} and QUERIES.keys() | {"pipeline"} <= queries().keys()
 
