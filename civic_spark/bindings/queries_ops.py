@@ -11,7 +11,8 @@ from ..operators import winners as win
 from ..operators.dedupe import first_row_per
 from ..operators.joins import layer_for_year, lookup_missing_as_null, natural_left_join, nullsafe_join
 from ..operators.quantiles import grouped_quantiles
-from ..operators.reshape import count_by_value, prefixed
+from ..operators.ordering import global_rank
+from ..operators.reshape import counts_by_value, map_text, prefixed
 from ..operators.series import fill_days, running_totals
 from ..operators.spatial import bbox_columns, points_in_polygons, polygons_from_vertices, with_bbox
 from ..plans import elections, fundraising, legislation, primaries
@@ -20,7 +21,7 @@ from ..streaming.incremental import extract_new_pages
 from . import sqltext as s
 from .queries_results import race_lookup
 from .registry import query
-from .views import BASE_TABLES, Views, dialect
+from .views import BASE_TABLES, TABLE_COLUMNS, Views, dialect
 
 CONTEST = s.CONTEST
 KEYS = elections.CONTEST
@@ -34,12 +35,25 @@ def long_counties(v: Views):
 # Sources and sinks
 
 
-@query("scan_table", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in BASE_TABLES))
+def _profile_sql(table: str) -> list[str]:
+    rows = []
+    for kind, names in TABLE_COLUMNS[table].items():
+        for c in names.split():
+            value = {"time": f"strftime({c}, '%Y-%m-%d %H:%M:%S')", "list": f"len({c})"}.get(kind, c)
+            text = kind in ("text", "time")
+            ends = [f"min({value})", f"max({value})"]
+            shown = [*ends, "NULL::DOUBLE", "NULL::DOUBLE"] if text else ["NULL::VARCHAR", "NULL::VARCHAR", *[f"{e}::DOUBLE + 0" for e in ends]]
+            columns = ", ".join(f"{e} AS {n}" for e, n in zip(shown, ("smallest", "largest", "smallest_number", "largest_number")))
+            rows.append(f"SELECT '{table}' AS name, '{c}' AS column_name, count(*) AS n, count(*) - count({c}) AS nulls, {columns} FROM {table}")
+    return rows
+
+
+@query("scan_table", " UNION ALL ".join(sql for t in BASE_TABLES for sql in _profile_sql(t)))
 def _(v):
-    counts = [v.table(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n") for t in BASE_TABLES]
-    out = counts[0]
-    for one in counts[1:]:
-        out = out.unionByName(one)
+    out = None
+    for name in BASE_TABLES:
+        one = tables.profile(v.table(name)).select(F.lit(name).alias("name"), "*")
+        out = one if out is None else out.unionByName(one)
     return out
 
 
@@ -55,11 +69,12 @@ def _(v):
 
 @query(
     "scan_layer",
-    "SELECT county, precinct, '00' || precinct AS vtdst, count(*) AS n FROM election_data WHERE precinct <> 'county' GROUP BY ALL",
+    """SELECT layer, name, countyfp, precinct, '00' || precinct AS vtdst, count(DISTINCT ring) AS nrings, count(*) AS npoints,
+            min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM precinct_vertices GROUP BY ALL""",
 )
 def _(v):
-    layer = tables.scan_layer(v.election_data.filter(F.col("precinct") != "county"), "precinct")
-    return layer.groupBy("county", "precinct", "vtdst").agg(F.count(F.lit(1)).alias("n"))
+    shapes = v.stored("precinct_layer", lambda: tables.layer_shapes(v.precinct_vertices, ["layer", "name", "countyfp", "precinct"]))
+    return tables.scan_layer(shapes, "precinct").withColumn("nrings", F.size("rings")).drop("rings")
 
 
 @query("scan_csv", "SELECT CAST(year AS BIGINT) AS year, race, candidate, party FROM d_overrides")
@@ -328,7 +343,7 @@ def _(v):
 
 @query("join_point_in_polygon", "SELECT id, x, y, district FROM d_inside")
 def join_point_in_polygon(v):
-    return points_in_polygons(v.points, polygons_from_vertices(v.plan_vertices, ["district"]))
+    return points_in_polygons(v.points, polygons_from_vertices(v.plan_vertices, ["district"]), ["district"])
 
 
 # Aggregations
@@ -418,24 +433,30 @@ def _(v):
     return v.election_items.select(*KEYS, "county", "precinct").distinct()
 
 
-@query("pivot_party", "SELECT session, bill_num, count(*) FILTER (party = 'Democratic') AS \"Democratic\", count(*) FILTER (party = 'Republican') AS \"Republican\" FROM d_signed GROUP BY session, bill_num")
+@query(
+    "pivot_party",
+    """SELECT session, bill_num, coalesce(max(n) FILTER (value = 'Democratic'), 0) AS "Democratic", coalesce(max(n) FILTER (value = 'Republican'), 0) AS "Republican",
+            string_agg(value || '=' || n, ' | ' ORDER BY value) AS parties
+        FROM (SELECT session, bill_num, coalesce(party, 'NA') AS value, count(*) AS n FROM d_signed GROUP BY ALL) AS c GROUP BY session, bill_num""",
+)
 def _(v):
     signed = v.sponsors.join(v.legislators.select("legislator_id", "party"), "legislator_id", "left")
-    both = {p: p for p in ("Democratic", "Republican")}
-    return signed.groupBy("session", "bill_num").agg(*count_by_value("party", both))
+    counts = counts_by_value(signed, ["session", "bill_num"], "party")
+    both = [F.coalesce(F.try_element_at("counts", F.lit(p)), F.lit(0)).alias(p) for p in ("Democratic", "Republican")]
+    return counts.select("session", "bill_num", *both, map_text("counts").alias("parties"))
 
 
 @query(
     "pivot_candidate_slots",
-    f"""SELECT {CONTEST}, unit, {', '.join(f"CAST(sum(votes) FILTER (slot = {n}) AS BIGINT) AS can{n}_votes" for n in range(1, 5))}
-        FROM d_county_long l JOIN ({s.slots("d_county_long", CONTEST)}) t USING ({CONTEST}, candidate) WHERE slot <= 4 GROUP BY {CONTEST}, unit""",
+    f"""SELECT {CONTEST}, unit, max(n_candidates) AS n_candidates,
+            string_agg(slot || ' ' || coalesce(l.candidate, 'NA') || '=' || coalesce(CAST(votes AS VARCHAR), 'NA'), ' | ' ORDER BY slot, party NULLS LAST) AS ballot
+        FROM d_county_long l JOIN ({s.slots("d_county_long", CONTEST)}) t USING ({CONTEST}, candidate) GROUP BY {CONTEST}, unit""",
 )
 def _(v):
     long = long_counties(v).withColumn("unit", F.col("county"))
-    slots = win.candidate_slots(long, KEYS, "unit").filter(F.col("slot") <= win.SLOTS)
-    placed = nullsafe_join(long, slots, [*KEYS, "candidate"])
-    wide = placed.groupBy(*KEYS, "unit").agg(*win.slot_columns())
-    return wide.drop(*[f"can{n}{end}" for n in range(1, 5) for end in ("", "_total")])
+    whole = win.ballots(long, KEYS, "unit")
+    line = F.transform("ballot", lambda x: F.concat(x["slot"].cast("string"), F.lit(" "), F.coalesce(x["candidate"], F.lit("NA")), F.lit("="), F.coalesce(x["votes"].cast("string"), F.lit("NA"))))
+    return whole.withColumn("ballot", F.array_join(line, " | "))
 
 
 _FIELD = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -535,25 +556,33 @@ def _(v):
 # Sorts, limits, sets
 
 
-@query("sort_desc", "SELECT state, CAST(sum(amount) AS DOUBLE) AS amount FROM contrib GROUP BY state")
+@query("sort_desc", "SELECT state, CAST(amount AS DOUBLE) AS amount, row_number() OVER (ORDER BY amount DESC NULLS LAST, state NULLS FIRST) AS rank FROM (SELECT state, sum(amount) AS amount FROM contrib GROUP BY state) AS t")
 def _(v):
-    return v.contrib.groupBy("state").agg(F.sum("amount").alias("amount")).orderBy(F.col("amount").desc_nulls_last())
+    sums = v.contrib.groupBy("state").agg(F.sum("amount").alias("amount"))
+    return global_rank(sums, [F.col("amount").desc_nulls_last(), F.col("state")])
 
 
-@query("sort_numeric_suffix", r"SELECT DISTINCT bill_num, try_cast(regexp_replace(bill_num, '\D', '', 'g') AS BIGINT) AS bill_q FROM bills")
+@query("sort_numeric_suffix", r"SELECT bill_num, bill_q, row_number() OVER (ORDER BY bill_q NULLS FIRST, bill_num NULLS FIRST) AS rank FROM (SELECT DISTINCT bill_num, try_cast(regexp_replace(bill_num, '\D', '', 'g') AS BIGINT) AS bill_q FROM bills) AS t")
 def _(v):
-    return v.bills.select("bill_num", sem.digits_number("bill_num").alias("bill_q")).distinct().orderBy("bill_q")
+    numbered = v.bills.select("bill_num", sem.digits_number("bill_num").alias("bill_q")).distinct()
+    return global_rank(numbered, [F.col("bill_q"), F.col("bill_num")])
 
 
-@query("sort_custom", "SELECT vote, count(*) AS n FROM roll GROUP BY vote")
+@query("sort_custom", "SELECT vote, n, row_number() OVER (ORDER BY CASE vote WHEN 'YEA' THEN 1 WHEN 'NAY' THEN 2 ELSE 3 END, vote NULLS FIRST) AS rank FROM (SELECT vote, count(*) AS n FROM roll GROUP BY vote) AS t")
 def _(v):
-    return v.roll.groupBy("vote").agg(F.count(F.lit(1)).alias("n")).orderBy(legislation.vote_rank(), "vote")
+    counts = v.roll.groupBy("vote").agg(F.count(F.lit(1)).alias("n"))
+    return global_rank(counts, [legislation.vote_rank(), F.col("vote")])
 
 
-@query("sort_multi", "SELECT office_sought, candidate, strftime(receipt_date, '%Y-%m-%d') AS receipt_date, CAST(amount AS DOUBLE) AS amount FROM contrib")
+@query(
+    "sort_multi",
+    """SELECT office_sought, candidate, strftime(receipt_date, '%Y-%m-%d') AS receipt_date, CAST(amount AS DOUBLE) AS amount,
+            row_number() OVER (ORDER BY receipt_date DESC NULLS LAST, lower(office_sought) NULLS FIRST, candidate NULLS FIRST, amount NULLS FIRST, office_sought NULLS FIRST) AS rank
+        FROM contrib""",
+)
 def _(v):
     rows = v.contrib.select("office_sought", "candidate", "receipt_date", "amount")
-    return rows.orderBy(F.col("receipt_date").desc_nulls_last(), F.lower("office_sought"), "candidate", "amount")
+    return global_rank(rows, [F.col("receipt_date").desc_nulls_last(), F.lower("office_sought"), F.col("candidate"), F.col("amount"), F.col("office_sought")])
 
 
 @query("limit_top_n", "SELECT race FROM d_crosswalk WHERE office = 'Other Local' ORDER BY race LIMIT 25")

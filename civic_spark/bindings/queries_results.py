@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import colors
 from ..functions.colors import ramp_fill, ramp_position
 from ..operators.winners import totals
 from ..operators.spatial import polygons_from_vertices
@@ -349,6 +350,11 @@ def roster_match(v):
     return rosters.matched_candidates(roster_status(v))
 
 
+@query("roster_match_year", "SELECT year, race, candidate, party FROM d_matched WHERE year = 2018")
+def _(v):
+    return rosters.matched_candidates(rosters.roster_status(unresolved(v), v.roster, year=2018))
+
+
 @query(
     "roster_match_report",
     """SELECT year, unresolved, coalesce(matched, 0) AS matched, round_even(coalesce(matched, 0) * 100.0 / unresolved, 0)::DOUBLE AS match_pct
@@ -629,7 +635,8 @@ def contributor_box(v):
 
 @query(
     "giving_by_county",
-    f"""SELECT {CAMPAIGN}, upper(c.name) AS name, county, CAST(amount AS DOUBLE) AS amount, bin, label, xmin, ymin, xmax, ymax
+    f"""SELECT {CAMPAIGN}, upper(c.name) AS name, county, CAST(amount AS DOUBLE) AS amount, bin, label,
+            coalesce(fill_col, '{colors.NO_VALUE_FILL}') AS fill_col, xmin, ymin, xmax, ymax
         FROM counties c LEFT JOIN d_giving g ON upper(c.name) = upper(county)""",
 )
 def giving_by_county(v):
@@ -719,20 +726,45 @@ def _(v):
     return districts.district_map(district_rows(v), v.fips, precinct_shapes(v))
 
 
-@query(
-    "plan_layers",
-    """SELECT district, CAST(npoints AS BIGINT) AS npoints, plan, chamber, plan_label FROM (
-        SELECT district, count(*) AS npoints FROM plan_vertices GROUP BY district) AS d,
-        (VALUES ('house_plan_hcs', 'House', '2022 HCS'), ('house_plan', 'House', '2022 Original Bill'),
+_LAYERS = """SELECT plan, chamber, plan_label, district, count(*) AS npoints, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax
+        FROM layer_vertices JOIN (VALUES ('house_plan_hcs', 'House', '2022 HCS'), ('house_plan', 'House', '2022 Original Bill'),
             ('house_plan_dem', 'House', '2022 Democratic Plan'), ('house_2014', 'House', '2014'), ('sen_plan', 'Senate', '2022'),
-            ('sen_2014', 'Senate', '2014'), ('cong_plan', 'Congress', '2022')) AS t(plan, chamber, plan_label)""",
+            ('sen_2014', 'Senate', '2014'), ('cong_plan', 'Congress', '2022')) AS t(plan, chamber, plan_label) USING (plan) GROUP BY ALL"""
+
+
+def plan_layers(v: Views):
+    """All versions of all plans with their own shapes, from one scan."""
+    return districts.versioned_layers(polygons_from_vertices(v.layer_vertices, ["plan", "district"]))
+
+
+@query("plan_layers", _LAYERS)
+def _(v):
+    return plan_layers(v).drop("rings")
+
+
+@query(
+    "district_outline",
+    f"""SELECT chamber, district, plan, npoints, CAST(replace(district, 'District ', '') AS BIGINT) AS district_num, plan_label, xmin, ymin, xmax, ymax
+        FROM ({_LAYERS}) AS l WHERE (chamber, plan) IN (('House', 'house_plan_hcs'), ('Senate', 'sen_plan'))""",
 )
 def _(v):
-    layers = {name: plan(v) for name in districts.PLAN_GROUPS}
-    for old in ("house_2014", "sen_2014"):
-        layers[old] = layers[old].withColumnRenamed("district", "DISTRICT")
-    points = F.size(F.flatten("rings"))
-    return districts.plan_layers(layers).withColumn("npoints", points).drop("rings")
+    return districts.district_outline(plan_layers(v)).drop("rings")
+
+
+@query(
+    "district_map_outlined",
+    f"""SELECT u.chamber, u.district, {CONTEST}, u.county, precinct, winner, {s.step_fill("winner", "winning_share")} AS fill_col, g.xmin, g.ymin, g.xmax, g.ymax,
+            o.plan AS outline_plan, npoints AS outline_points, o.xmin AS outline_xmin, o.ymin AS outline_ymin, o.xmax AS outline_xmax, o.ymax AS outline_ymax
+        FROM ({s.winners("d_district_rows", f"chamber, district, {CONTEST}, county, precinct")}) AS u
+        JOIN fips f ON u.county = f.county
+        JOIN precinct_shapes g ON g.vtdst = '00' || precinct AND g.countyfp = substring(CAST(fips AS VARCHAR), 3, 3) AND layer = 'precincts'
+        LEFT JOIN (SELECT * FROM ({_LAYERS}) AS l WHERE (chamber, plan) IN (('House', 'house_plan_hcs'), ('Senate', 'sen_plan'))) AS o
+            ON o.chamber = u.chamber AND replace(o.district, 'District ', '') = replace(u.district, 'District ', '')""",
+)
+def _(v):
+    shown = districts.district_map(district_rows(v), v.fips, precinct_shapes(v))
+    shown = shown.select("chamber", "district", *elections.CONTEST, "county", "precinct", "winner", "fill_col", "xmin", "ymin", "xmax", "ymax")
+    return districts.outlined_map(shown, plan_layers(v))
 
 
 @query("candidate_directory", "SELECT * REPLACE (CAST(district AS VARCHAR) AS district) FROM d_directory")
@@ -770,8 +802,5 @@ def _(v):
         JOIN (VALUES ('House', 'State Representative'), ('Senate', 'State Senator')) AS t(chamber, office_) ON office_ = office""",
 )
 def candidates_at_point(v):
-    both = [
-        districts.candidates_at_point(v.points, plan(v), v.candidates, c).withColumn("chamber", F.lit(c))
-        for c in ("House", "Senate")
-    ]
-    return both[0].unionByName(both[1])
+    plans = plan(v).withColumn("chamber", F.explode(F.array(F.lit("House"), F.lit("Senate"))))
+    return districts.candidates_at_point(v.points, plans, v.candidates)

@@ -128,6 +128,11 @@ def step_fill(winner: str, share: str) -> str:
     return f"CASE {whens} ELSE '{colors.STEP_DEFAULT}' END"
 
 
+def bin_fill(bin_: str, bins: str) -> str:
+    whens = " ".join(f"WHEN {bins} <= {n} THEN {fills!r}" for n, fills in colors.BIN_FILLS.items() if n < 5)
+    return f"(CASE {whens} ELSE {colors.BIN_FILLS[5]!r} END)[{bin_}]"
+
+
 def painted(units: str, winner: str = "winner", share: str = "winning_share") -> str:
     """Subquery adding ramp_t and the Lab-blended fill_col to rows with a winner and a share, one step per level."""
 
@@ -291,14 +296,14 @@ DERIVED = {
     "d_split_map_rows": f"""SELECT r.year, r.election, r.race, r.token, county, precinct, candidate, 'IND' || cnt AS party, r.votes
         FROM d_split r LEFT JOIN (SELECT {PRIMARY}, candidate, cnt FROM d_split_rank) AS k USING ({PRIMARY}, candidate)""",
     "d_unresolved": f"SELECT year, race, candidate, office, source FROM d_ppl WHERE office_level IN {_PARTISAN} AND party IS NULL",
-    "d_listed": f"""SELECT office, nkey, min(party) AS party FROM (SELECT {roster_office("office_bp")} AS office,
+    "d_listed": f"""SELECT year, office, nkey, min(party) AS party FROM (SELECT year, {roster_office("office_bp")} AS office,
             {name_key("candidate")} AS nkey, party FROM roster) AS k GROUP BY ALL HAVING count(DISTINCT party) = 1""",
     "d_exact": f"""SELECT u.year, u.race, u.candidate, u.office, l.party FROM d_unresolved u
-        JOIN d_listed l ON u.office = l.office AND {name_key("u.candidate")} = l.nkey""",
+        JOIN d_listed l ON u.year = l.year AND u.office = l.office AND {name_key("u.candidate")} = l.nkey""",
     "d_loose": f"""SELECT u.year, u.race, u.candidate, u.office, f.party
         FROM (SELECT * FROM d_unresolved WHERE (year, race, candidate) NOT IN (SELECT (year, race, candidate) FROM d_exact)) u
-        JOIN (SELECT office, {first_last("nkey")} AS fl, min(party) AS party FROM d_listed GROUP BY ALL
-            HAVING count(DISTINCT party) = 1) f ON u.office = f.office AND {first_last(name_key("u.candidate"))} = f.fl""",
+        JOIN (SELECT year, office, {first_last("nkey")} AS fl, min(party) AS party FROM d_listed GROUP BY ALL
+            HAVING count(DISTINCT party) = 1) f ON u.year = f.year AND u.office = f.office AND {first_last(name_key("u.candidate"))} = f.fl""",
     "d_matched": "SELECT DISTINCT year, race, candidate, party FROM (SELECT * FROM d_exact UNION ALL SELECT * FROM d_loose) AS m",
     "d_contrib": f"""SELECT *, {payer("from_organization_name", "contributor_first_name", "contributor_last_name", "address1")} AS contributor
         FROM contrib""",
@@ -311,7 +316,8 @@ DERIVED = {
             CASE WHEN amount IS NOT NULL AND breaks IS NOT NULL THEN greatest(1, least(len(list_filter(list_distinct(breaks), lambda b: b <= CAST(amount AS DOUBLE))),
                 greatest(len(list_distinct(breaks)) - 1, 1))) END AS bin,
             coalesce(county, 'NA') || ' ' || coalesce('$' || CASE WHEN cents THEN format('{{:,.2f}}', CAST(amount AS DOUBLE))
-                ELSE format('{{:,}}', CAST(round_even(amount, 0) AS BIGINT)) END, 'NA') AS label
+                ELSE format('{{:,}}', CAST(round_even(amount, 0) AS BIGINT)) END, 'NA') AS label,
+            coalesce({bin_fill("bin", "len(list_distinct(breaks)) - 1")}, '{colors.NO_VALUE_FILL}') AS fill_col
         FROM d_county_giving g JOIN (SELECT election_date, office_sought, candidate,
             quantile_cont(CAST(amount AS DOUBLE), [0, 0.2, 0.4, 0.6, 0.8, 1]) AS breaks,
             max(abs(amount)) < 100000 AND bool_or(amount <> floor(amount)) AS cents FROM d_county_giving GROUP BY ALL) AS b

@@ -18,6 +18,28 @@ BASE_TABLES = [
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+# Columns of the driver's tables by kind.
+NUMBERS, TEXTS, TIMES, LISTS = "number", "text", "time", "list"
+TABLE_COLUMNS: dict[str, dict[str, str]] = {
+    "region": {NUMBERS: "r_regionkey", TEXTS: "r_name"},
+    "nation": {NUMBERS: "n_nationkey n_regionkey", TEXTS: "n_name"},
+    "customer": {NUMBERS: "c_custkey c_nationkey c_acctbal", TEXTS: "c_name c_mktsegment"},
+    "supplier": {NUMBERS: "s_suppkey s_nationkey s_acctbal", TEXTS: "s_name"},
+    "part": {NUMBERS: "p_partkey p_size p_retailprice", TEXTS: "p_name p_brand p_type"},
+    "orders": {NUMBERS: "o_orderkey o_custkey o_totalprice", TEXTS: "o_orderstatus o_orderpriority", TIMES: "o_orderdate"},
+    "lineitem": {
+        NUMBERS: "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax",
+        TEXTS: "l_returnflag l_linestatus", TIMES: "l_shipdate",
+    },
+    "events": {NUMBERS: "event_id user_id value", TEXTS: "event_type props", TIMES: "ts"},
+    "documents": {NUMBERS: "doc_id n_chars", TEXTS: "text lang source"},
+    "embeddings": {NUMBERS: "vec_id label", LISTS: "embedding"},
+    "pages": {NUMBERS: "page_id", TEXTS: "url html"},
+    "benchmark": {NUMBERS: "item_id", TEXTS: "text"},
+    "labels": {NUMBERS: "doc_id quality toxic"},
+    "conversations": {NUMBERS: "conv_id turn", TEXTS: "role text"},
+}
+
 # Race wordings that reach every office class, the catch-all, suffixes, typos and order conflicts.
 PHRASES = [
     "PRESIDENT of the UNITED STATES",
@@ -105,6 +127,9 @@ _OUTLINE_ROWS = ", ".join(
     for seq, (x, y) in enumerate(points)
 )
 
+_PLANS = ["house_plan_hcs", "house_plan", "house_plan_dem", "house_2014", "sen_plan", "sen_2014", "cong_plan", "draft"]
+_VERSION_ROWS = ", ".join(f"('{plan}', {i}, {third}, {(third + i) % 3})" for i, plan in enumerate(_PLANS) for third in range(3))
+
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
@@ -168,31 +193,31 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     "race_strings": """
         SELECT p_partkey, replace(phrase, '{n}', cast(p_size AS string)) || ' (' || p_brand || ')' AS race
         FROM part JOIN phrases ON k = p_partkey % 60""",
-    # Hand-entered overrides as they come from a worksheet: some whole races, untidy party text, blanks.
+    # Worksheets list everybody on a primary ballot; a few rows are filled in by hand: some for a whole race, untidy, blank.
     "manual_raw": """
-        SELECT DISTINCT year, race, CASE WHEN votes < 500 THEN candidate END AS candidate,
-            CASE WHEN votes % 5 = 0 THEN ' rep' WHEN votes % 5 = 1 THEN 'DEM ' WHEN votes % 5 = 2 THEN 'ind'
+        SELECT DISTINCT year, race, CASE WHEN votes >= 500 AND votes < 540 THEN NULL ELSE candidate END AS candidate,
+            CASE WHEN votes < 400 OR votes >= 540 THEN '' WHEN votes % 5 = 0 THEN ' rep' WHEN votes % 5 = 1 THEN 'DEM ' WHEN votes % 5 = 2 THEN 'ind'
                 WHEN votes % 5 = 3 THEN '' END AS party
-        FROM ballots WHERE election = 'primary' AND votes >= 400 AND votes < 540""",
+        FROM ballots WHERE election = 'primary'""",
     "todo_raw": """
         SELECT DISTINCT year, race, candidate,
-            CASE WHEN votes % 6 = 0 THEN 'republican' WHEN votes % 6 = 1 THEN ' D' WHEN votes % 6 = 2 THEN 'i'
+            CASE WHEN votes < 300 OR votes >= 480 THEN '' WHEN votes % 6 = 0 THEN 'republican' WHEN votes % 6 = 1 THEN ' D' WHEN votes % 6 = 2 THEN 'i'
                 WHEN votes % 6 = 3 THEN 'Democratic' WHEN votes % 6 = 4 THEN 'unknown' END AS party
-        FROM ballots WHERE election = 'primary' AND votes >= 300 AND votes < 480""",
+        FROM ballots WHERE election = 'primary'""",
+    # A roster per election year: whoever was active in it, with that year's party; some stand in it twice.
     "roster": """
-        SELECT lower(n_name) AS county,
+        SELECT DISTINCT year(o_orderdate) + 23 AS year, lower(n_name) AS county,
             CASE WHEN phrase LIKE 'STATE SENATOR%' THEN 'Kentucky Senate District ' || cast(c_custkey % 7 + 1 AS string)
                 WHEN phrase LIKE 'STATE REP%' THEN 'Kentucky House of Representatives District ' || cast(c_custkey % 7 + 1 AS string)
                 ELSE phrase END AS office_bp,
             CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment || ' Q. ' || c_name
                 WHEN c_custkey % 3 = 1 THEN c_mktsegment || ' ' || c_name
                 ELSE c_mktsegment || ' "Ace" Middle ' || c_name END AS candidate,
-            CASE WHEN c_nationkey % 2 = 0 THEN 'REP' ELSE 'DEM' END AS party
-        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN phrases ON k = c_custkey % 60
+            CASE WHEN (c_nationkey + year(o_orderdate)) % 2 = 0 THEN 'REP' ELSE 'DEM' END AS party
+        FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN phrases ON k = c_custkey % 60
         UNION ALL
-        SELECT lower(n_name), phrase, c_mktsegment || ' Q. ' || c_name, 'REP'
-        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN phrases ON k = c_custkey % 60
-        WHERE c_acctbal < 500""",
+        SELECT DISTINCT year(o_orderdate) + 23, lower(n_name), phrase, c_mktsegment || CASE WHEN c_acctbal < 500 THEN ' Q. ' ELSE ' Z. ' END || c_name, 'REP'
+        FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN phrases ON k = c_custkey % 60""",
     # Campaign finance. Campaigns are (election date, office, regional candidate).
     "contrib": """
         SELECT CASE WHEN o_orderstatus = 'P' THEN 'PRIMARY' ELSE 'GENERAL ELECTION' END AS election_type,
@@ -311,6 +336,18 @@ VIEWS: dict[str, str | tuple[str, str]] = {
                 ('precincts_22', 0), ('precincts_22', 1), ('precincts_22', 2),
                 ('precincts_24', 0), ('precincts_24', 1), ('precincts_24', 2), ('precincts_24', 3),
                 ('precincts_general_24', 0), ('precincts_general_24', 1)) AS t(layer, kept) ON p = kept""",
+    # The same layers by vertices, with a bare precinct code.
+    "precinct_vertices": """
+        SELECT layer, name, countyfp, precinct, ring, seq, xmin + dx * (xmax - xmin) AS x, ymin + dy * (ymax - ymin) AS y
+        FROM (SELECT *, substring(vtdst, 3, 4) AS precinct, cast(substring(vtdst, 6, 1) AS int) % 3 AS shape FROM precinct_shapes) AS s
+            JOIN outlines ON kind = shape""",
+    # Versions of the district plans: shapes, sizes and the writing of a district differ; one is shown to nobody.
+    "plan_versions": f"SELECT * FROM (VALUES {_VERSION_ROWS}) AS t(plan, version, third, shape)",
+    "layer_vertices": """
+        SELECT plan, CASE WHEN plan LIKE '%2014' THEN '' ELSE 'District ' END || cast(n_nationkey + 1 AS string) AS district, ring, seq,
+            (cast(n_nationkey % 5 AS double) + dx) * (2e-1 + cast(version AS double) * 1e-2) - 5e-1 AS x,
+            (cast(n_nationkey - n_nationkey % 5 AS double) / 5e0 + dy) * (2e-1 - cast(version AS double) * 1e-2) - 5e-1 AS y
+        FROM nation JOIN plan_versions ON third = n_nationkey % 3 JOIN outlines ON kind = shape""",
     "plan_vertices": """
         SELECT 'District ' || cast(n_nationkey + 1 AS string) AS district, ring, seq,
             (cast(n_nationkey % 5 AS double) + dx) * 2e-1 - 5e-1 AS x,
@@ -320,18 +357,19 @@ VIEWS: dict[str, str | tuple[str, str]] = {
         "SELECT vec_id AS id, cast(element_at(embedding, 1) AS double) AS x, cast(element_at(embedding, 2) AS double) AS y FROM embeddings",
         "SELECT vec_id AS id, cast(embedding[1] AS double) AS x, cast(embedding[2] AS double) AS y FROM embeddings",
     ),
-    # Legislative candidates: suppliers and, as challengers, big customers; duplicates and missing links included.
+    # Candidates: suppliers and, as challengers, customers; duplicates and missing links included. One district has
+    # nobody for the legislature.
     "candidates": """
-        SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'State Senator' ELSE 'State Representative' END AS office,
+        SELECT CASE WHEN s_nationkey = 3 THEN 'Mayor' WHEN s_suppkey % 3 = 0 THEN 'State Senator' ELSE 'State Representative' END AS office,
             s_nationkey + 1 AS district, 'Sam' AS first_name,
             CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE 'Lee' END AS middle_name, s_name AS last_name,
             CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'https://lrc/' || cast(s_suppkey AS string) END AS lrc_website,
             CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'https://site/' || cast(s_suppkey AS string) END AS political_website,
             'fb/' || s_name AS facebook, 'tw/' || s_name AS twitter, 'ig/' || s_name AS instagram
-        FROM supplier WHERE s_nationkey <> 3
+        FROM supplier
         UNION ALL
-        SELECT 'State Representative', c_nationkey + 1, c_mktsegment, NULL, 'Challenger', NULL, NULL, 'fb', 'tw', 'ig'
-        FROM customer WHERE c_acctbal > 9000 AND c_nationkey <> 3""",
+        SELECT CASE WHEN c_nationkey = 3 OR c_acctbal <= 9000 THEN 'City Council' ELSE 'State Representative' END, c_nationkey + 1, c_mktsegment, NULL, 'Challenger', NULL, NULL, 'fb', 'tw', 'ig'
+        FROM customer""",
     # Roster pages: the navigation list of every page rewritten as a roster block.
     "county_pages": (
         r"""

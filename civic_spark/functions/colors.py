@@ -57,6 +57,14 @@ STEPS = [
 ]
 STEP_DEFAULT = "white"
 
+# Sequential yellow-green-blue scale by number of classes, and the fill of a place without a value.
+BIN_FILLS = {
+    3: ["#edf8b1", "#7fcdbb", "#2c7fb8"],
+    4: ["#ffffcc", "#a1dab4", "#41b6c4", "#225ea8"],
+    5: ["#ffffcc", "#a1dab4", "#41b6c4", "#2c7fb8", "#253494"],
+}
+NO_VALUE_FILL = "#808080"
+
 # sRGB (D65) to XYZ and back, and the D65 white point.
 RGB_TO_XYZ = [
     [0.4124564, 0.3575761, 0.1804375],
@@ -148,3 +156,12 @@ def step_fill(winner: Column | str, share: Column | str) -> Column:
             hit = hit & (share > limit if sign == ">" else share < limit)
         fill = F.when(hit, color) if fill is None else fill.when(hit, color)
     return fill.otherwise(STEP_DEFAULT)
+
+
+def bin_fill(bin_: Column, bins: Column) -> Column:
+    """Fill of a 1-based bin among ``bins`` classes (3 to 5; fewer take the three-class scale); grey for no bin."""
+    scale = None
+    for n, fills in sorted(BIN_FILLS.items(), reverse=True):
+        stops = F.array(*[F.lit(f) for f in fills])
+        scale = stops if scale is None else F.when(bins <= n, stops).otherwise(scale)
+    return F.coalesce(F.get(scale, (bin_ - 1).cast("int")), F.lit(NO_VALUE_FILL))

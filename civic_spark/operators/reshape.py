@@ -15,6 +15,24 @@ def count_by_value(column: str, values: dict[str, str | None], weight: Column |
     ]
 
 
+def counts_by_value(df: DataFrame, keys: list[str], column: str, missing: str = "NA") -> DataFrame:
+    """One row per key with ``counts``, a map from every value that occurs to its number of rows.
+
+    Rows are counted per key and value first, so no job has to discover the values, and a key's map is as large as the
+    number of different values it has. NULL is counted as ``missing``.
+    """
+    value = F.coalesce(F.col(column).cast("string"), F.lit(missing))
+    pairs = df.groupBy(*keys, value.alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    entries = F.sort_array(F.collect_list(F.struct("_value", "_n")))
+    return pairs.groupBy(*keys).agg(F.map_from_entries(entries).alias("counts"))
+
+
+def map_text(column: Column | str, sep: str = " | ") -> Column:
+    """A map as ``key=value`` text in the order of its entries."""
+    pairs = F.transform(F.map_entries(column), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return F.array_join(pairs, sep)
+
+
 def crosstab(df: DataFrame, rows: list[str], column: str, values: list[str]) -> DataFrame:
     """Counts of ``column`` values per row key, missing combinations 0."""
     return df.groupBy(*rows).pivot(column, values).agg(F.count(F.lit(1))).fillna(0, values)

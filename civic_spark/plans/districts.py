@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.colors import step_fill
 from ..functions.semantics import na_paste
 from ..operators import winners as win
-from ..operators.spatial import points_in_polygons
+from ..operators.spatial import points_in_polygons, with_bbox
 from ..sources.tables import county_fips, voting_district
 from .elections import CONTEST, precinct_table, precinct_table_listed
 
@@ -88,7 +88,7 @@ def district_detail_listed(rows: DataFrame) -> DataFrame:
 def district_map(rows: DataFrame, fips: DataFrame, precinct_shapes: DataFrame) -> DataFrame:
     """Precinct winners of each district with step fills and labels, on the pre-2022 precinct shapes."""
     unit = [*DISTRICT, *CONTEST, "county", "precinct"]
-    units = win.unit_winners(rows, unit, extra=[win.vote_label().alias("label")])
+    units = win.unit_winners(win.counted(rows, unit), unit, extra=[win.vote_label(F.col("n")).alias("label")])
     painted = units.withColumn("fill_col", step_fill("winner", "winning_share"))
     coded = painted.join(fips, "county", "left").withColumns(
         {"vtdst": voting_district("precinct"), "countyfp": county_fips("fips")}
@@ -108,6 +108,32 @@ def plan_layers(layers: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def versioned_layers(layers: DataFrame) -> DataFrame:
+    """Plan versions that stand in one table ``(plan, district, rings)``, with their chamber, label, points and box.
+
+    One scan serves all versions; a plan that is not shown to users has no row.
+    """
+    shown = [F.struct(F.lit(k).alias("plan"), F.lit(c).alias("chamber"), F.lit(t).alias("plan_label")) for k, (c, t) in PLAN_GROUPS.items()]
+    found = F.get(F.filter(F.array(*shown), lambda g: g["plan"] == F.col("plan")), F.lit(0))
+    named = layers.withColumn("_group", found).filter(F.col("_group").isNotNull())
+    named = named.withColumns({"chamber": F.col("_group.chamber"), "plan_label": F.col("_group.plan_label")}).drop("_group")
+    return with_bbox(named).withColumn("npoints", F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r)))
+
+
+def outlined_map(shown: DataFrame, layers: DataFrame) -> DataFrame:
+    """The rows of a district map beside the outline of their district: its points and box.
+
+    ``shown (chamber, district, ...)`` is a map of any districts, ``layers`` the versioned plans. Districts are matched by
+    number, as plans and precinct lists write them differently; a district without an outline keeps its rows.
+    """
+    outline = district_outline(layers).select(
+        F.col("chamber"), "district_num", F.col("plan").alias("outline_plan"), F.col("npoints").alias("outline_points"),
+        *[F.col(c).alias(f"outline_{c}") for c in ("xmin", "ymin", "xmax", "ymax")],
+    )
+    rows = shown.withColumn("district_num", district_number("district"))
+    return rows.join(outline, ["chamber", "district_num"], "left").drop("district_num")
+
+
 def district_outline(layers: DataFrame) -> DataFrame:
     """Outline of each district in the plan of its chamber; both ways of writing a district are understood."""
     wanted = None
@@ -148,13 +174,20 @@ def district_candidates_map(plan: DataFrame, candidates: DataFrame, chamber: str
     return shown.withColumn("fill", fill)
 
 
-def candidates_at_point(points: DataFrame, plan: DataFrame, candidates: DataFrame, chamber: str) -> DataFrame:
-    """Candidates, with their links, of the district that contains each point."""
-    found = points_in_polygons(points, plan.select("district", "rings"))
+def candidates_at_point(points: DataFrame, plans: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates, with their links, of the districts that contain each point, in every chamber at once.
+
+    ``plans (chamber, district, rings)`` holds the plans of all chambers; points are placed in one join.
+    """
+    found = points_in_polygons(points, plans.select(*DISTRICT, "rings"), DISTRICT)
     located = found.withColumn("district_num", district_number("district")).drop("district")
-    people = candidates.filter(F.col("office") == CHAMBER_OFFICE[chamber]).withColumn("name", full_name())
+    chamber = None
+    for name, office in CHAMBER_OFFICE.items():
+        hit = F.col("office") == office
+        chamber = F.when(hit, name) if chamber is None else chamber.when(hit, name)
+    people = candidates.withColumns({"name": full_name(), "chamber": chamber}).filter(F.col("chamber").isNotNull())
     links = ["political_website", "lrc_website", "facebook", "twitter", "instagram"]
-    people = people.select("name", F.col("district").try_cast("int").alias("district_num"), *links)
-    return located.join(people, "district_num").withColumn(
+    people = people.select("chamber", "name", F.col("district").try_cast("int").alias("district_num"), *links)
+    return located.join(people, ["chamber", "district_num"]).withColumn(
         "district_label", F.concat(F.lit("District "), F.col("district_num").cast("string"))
     )

@@ -119,8 +119,8 @@ def primary_rank(rows: DataFrame, keys: list[str] = CONTEST) -> DataFrame:
 def map_rows(rows: DataFrame, keys: list[str] = CONTEST) -> DataFrame:
     """Rows as the maps colour them: a primary shows the rank of its candidates, whatever their party.
 
-    Ranks are taken for every contest, not just primaries, so that both sides read the same de-duplicated rows
-    and share one shuffle.
+    Ranks are taken for every contest, not just primaries, so that both sides read the same rows and share one scan and
+    shuffle; there is one rank per contest and candidate, small enough for Spark to broadcast after checking its size.
     """
     ranks = primary_rank(rows, keys).select(*keys, "candidate", F.col("party").alias("_rank"))
     ranked = nullsafe_join(rows, ranks, [*keys, "candidate"], "left", never_null=keys)
@@ -139,7 +139,8 @@ def _painted(units: DataFrame) -> DataFrame:
 
 def county_map_results(rows: DataFrame, keys: list[str] = CONTEST) -> DataFrame:
     """Winning party, share, label and fill of every county in every contest."""
-    long = win.totals(map_rows(rows, keys), [*keys, "county"])
+    summed = win.totals(rows, [*keys, "county"])  # ranks are joined to sums, not to rows
+    long = win.totals(map_rows(summed, keys), [*keys, "county"])
     units = win.unit_winners(long, [*keys, "county"], ties=False, extra=[win.vote_label().alias("label")])
     return _painted(units)
 
@@ -155,9 +156,9 @@ def county_map(rows: DataFrame, counties: DataFrame, keys: list[str] = CONTEST)
 
 def precinct_map_results(rows: DataFrame, fips: DataFrame, keys: list[str] = CONTEST) -> DataFrame:
     """Winner or Tie, share, label, fill and shape codes of every precinct of every contest, whatever its size."""
-    shown = map_rows(rows, keys)
     unit = [*keys, "county", "precinct"]
-    units = _painted(win.unit_winners(shown, unit, extra=[win.vote_label().alias("label")]))
+    shown = win.counted(map_rows(rows, keys), unit)
+    units = _painted(win.unit_winners(shown, unit, extra=[win.vote_label(F.col("n")).alias("label")]))
     coded = units.join(fips, "county", "left")
     return coded.withColumns(
         {

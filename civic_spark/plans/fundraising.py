@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.colors import NO_VALUE_FILL, bin_fill
 from ..functions.formats import comma, dollar, has_cents, shows_cents, whole_dollar
 from ..functions.names import payer_identity
 from ..functions.semantics import na_sum
@@ -176,7 +177,8 @@ def county_giving(contrib: DataFrame, zip_county: DataFrame) -> DataFrame:
     binned = by_county.join(breaks, CAMPAIGN)
     binned = binned.withColumn("bin", bin_of(F.col("amount").cast("double"), F.col("breaks")).cast("bigint"))
     label = F.concat(F.coalesce("county", F.lit("NA")), F.lit(" "), F.coalesce(dollar("amount", F.col("cents")), F.lit("NA")))
-    return binned.drop("breaks").withColumn("label", label).drop("cents")
+    fill = bin_fill(F.col("bin"), F.size(F.array_distinct("breaks")) - 1)
+    return binned.withColumns({"label": label, "fill_col": fill}).drop("breaks", "cents")
 
 
 def giving_map(contrib: DataFrame, zip_county: DataFrame, counties: DataFrame) -> DataFrame:
@@ -186,7 +188,7 @@ def giving_map(contrib: DataFrame, zip_county: DataFrame, counties: DataFrame) -
     """
     giving = county_giving(contrib, zip_county).withColumn("name", F.upper("county"))
     shapes = counties.withColumn("name", F.upper("name"))
-    return shapes.join(giving, "name", "left")
+    return shapes.join(giving, "name", "left").fillna(NO_VALUE_FILL, "fill_col")
 
 
 def out_of_state(contrib: DataFrame, home: str = HOME_STATE) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import name_key, party_code, party_in_race_name
 from ..functions.offices import OTHER_OFFICE, PARTISAN_LEVELS, with_office
-from ..functions.semantics import not_in, unanimous
+from ..functions.semantics import not_in
 from ..operators.dedupe import merge_overrides
 from ..operators.joins import nullsafe_join
 from ..operators.reshape import crosstab
@@ -50,29 +50,29 @@ def crosswalk_district_sample(crosswalk: DataFrame, n: int = 15) -> DataFrame:
 def resolve_parties(election_data: DataFrame, race_lookup: DataFrame, overrides: DataFrame) -> DataFrame:
     """Party and its source for every primary candidate; the first signal in ``SOURCES`` that speaks wins.
 
-    The general-election signal is reduced to one unanimous party per (year, office, district, name) before it
-    is joined, so candidates meet at most one row and nothing fans out.
+    The results are read once: a flagged aggregate by (year, race, candidate) says who stood in a primary and under
+    which major parties in a general election. The signals of a person, over all spellings of a name in an office and district, and
+    of a race are windows over these reduced rows: a person's spellings, a race's ballot.
     """
+    general = (F.col("election") == "general") & F.col("party").isin(*PRIMARY_PARTIES)
+    held = F.when(general, F.col("party"))
+    people = election_data.filter((F.col("election") == "primary") | general)
+    people = people.groupBy(*CANDIDATE).agg(
+        F.bool_or(F.col("election") == "primary").alias("in_primary"), F.min(held).alias("low"), F.max(held).alias("high")
+    )
     crosswalk = race_lookup.select("race", "office", "office_level", "district")
-    primary = election_data.filter(F.col("election") == "primary").select(*CANDIDATE).distinct()
-    primary = nullsafe_join(primary, crosswalk, ["race"], "left").withColumn("nkey", name_key("candidate"))
-
-    general = election_data.filter((F.col("election") == "general") & F.col("party").isin(*PRIMARY_PARTIES))
-    general = general.select(*CANDIDATE, "party").distinct()
-    general = nullsafe_join(general, crosswalk, ["race"], "left").withColumn("nkey", name_key("candidate"))
-    person = ["year", "office", "district", "nkey"]
-    known = general.groupBy(*person).agg(unanimous("party").alias("general_cand"))
-    primary = nullsafe_join(primary, known, person, "left", never_null=["year"])
-
-    # NULLs are skipped inside the aggregate: a filter here would be pushed down and keep Spark from reusing the
-    # shuffles that the main branch has just done.
-    signal = primary.groupBy("year", "race").agg(unanimous("general_cand", skip_nulls=True).alias("race_party"))
+    keyed = nullsafe_join(people, crosswalk, ["race"], "left").withColumn("nkey", name_key("candidate"))
+    person = Window.partitionBy("year", "office", "district", "nkey")
+    least, most = F.min("low").over(person), F.max("high").over(person)
+    keyed = keyed.withColumn("general_cand", F.when(F.col("year").isNotNull() & (least == most), least))
+    ballot = Window.partitionBy("year", "race")
+    first, last = F.min("general_cand").over(ballot), F.max("general_cand").over(ballot)
+    primary = keyed.filter("in_primary").withColumn("race_party", F.when(first == last, first))
+
     by_candidate = overrides.filter(F.col("candidate") != "").select(*CANDIDATE, F.col("party").alias("mc")).distinct()
     by_race = overrides.filter(F.col("candidate") == "").select("year", "race", F.col("party").alias("mr")).distinct()
-
     joined = nullsafe_join(primary, by_candidate, CANDIDATE, "left", never_null=["year"])
     joined = nullsafe_join(joined, by_race, ["year", "race"], "left", never_null=["year"])
-    joined = nullsafe_join(joined, signal, ["year", "race"], "left")
 
     open_race = not_in("office_level", PARTISAN_LEVELS)
     signals = [

@@ -13,26 +13,31 @@ from .primaries import CANDIDATE
 
 
 def roster_parties(roster: DataFrame) -> DataFrame:
-    """One party per (office, name key); names listed under two parties are dropped."""
+    """One party per (year, office, name key); names listed under two parties are dropped.
+
+    A roster is a list of versions, told by the ``year`` they were valid for.
+    """
     keyed = roster.select(
-        roster_office("office_bp").alias("office"), name_key("candidate").alias("nkey"), "party"
+        "year", roster_office("office_bp").alias("office"), name_key("candidate").alias("nkey"), "party"
     )
-    return keyed.groupBy("office", "nkey").agg(unanimous("party").alias("party")).filter(F.col("party").isNotNull())
+    return keyed.groupBy("year", "office", "nkey").agg(unanimous("party").alias("party")).filter(F.col("party").isNotNull())
 
 
-def roster_status(unresolved: DataFrame, roster: DataFrame) -> DataFrame:
-    """Every unresolved candidate with the roster's party, NULL where the roster does not help.
+def roster_status(unresolved: DataFrame, roster: DataFrame, year: int | None = None) -> DataFrame:
+    """Every unresolved candidate with the party of the roster of that year, NULL where the roster does not help.
 
-    The full name key decides first, first and last token only for candidates the full key did not find. Both
-    tiers join against unanimous, therefore unique, keys, so a candidate stays one row and nothing is re-read
-    to find out who is left over.
+    ``year`` picks one election year; None takes all, each against its own version. The full name key decides
+    first, first and last token only for candidates the full key did not find. Both tiers join against unanimous,
+    therefore unique, keys, so a candidate stays one row and nothing is re-read to find out who is left over.
     """
+    if year is not None:
+        unresolved, roster = unresolved.filter(F.col("year") == year), roster.filter(F.col("year") == year)
     listed = roster_parties(roster)
     by_key = listed.withColumnRenamed("party", "_exact")
-    by_ends = listed.groupBy("office", first_last("nkey").alias("fl")).agg(unanimous("party").alias("_loose"))
+    by_ends = listed.groupBy("year", "office", first_last("nkey").alias("fl")).agg(unanimous("party").alias("_loose"))
     wanted = unresolved.select(*CANDIDATE, "office").withColumn("nkey", name_key("candidate"))
-    found = nullsafe_join(wanted, by_key, ["office", "nkey"], "left").withColumn("fl", first_last("nkey"))
-    found = nullsafe_join(found, by_ends, ["office", "fl"], "left")
+    found = nullsafe_join(wanted, by_key, ["year", "office", "nkey"], "left", never_null=["year"]).withColumn("fl", first_last("nkey"))
+    found = nullsafe_join(found, by_ends, ["year", "office", "fl"], "left", never_null=["year"])
     return found.select(*CANDIDATE, "office", F.coalesce("_exact", "_loose").alias("party"))
 
 

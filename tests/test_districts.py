@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from civic_spark.operators import spatial
 from civic_spark.operators.spatial import points_in_polygons, polygons_from_vertices, with_bbox
 from civic_spark.plans import districts
 
@@ -35,17 +36,37 @@ def brute(x, y, rings):
     return odd
 
 
-@pytest.mark.parametrize("cell", [0.3, 1.0, 50.0])
-def test_points_match_brute_force(frame, polygons, cell):
+@pytest.mark.parametrize("cells", [1, 4, 40])
+def test_points_match_brute_force(frame, polygons, cells, monkeypatch):
+    monkeypatch.setattr(spatial, "CELLS_A_SIDE", cells)
     rng = random.Random(7)
     points = [(i, rng.uniform(-4, 10), rng.uniform(-4, 5)) for i in range(600)]
     points += [(9001, 7.0, 2.0), (9002, 2.0, 3.0), (9003, 5.5, 2.0), (9004, 2.0, 0.5)]  # hole, notch, ring, body
-    got = {(r.id, r.district) for r in points_in_polygons(frame("id INT, x DOUBLE, y DOUBLE", *points), polygons, cell).collect()}
+    got = {(r.id, r.district) for r in points_in_polygons(frame("id INT, x DOUBLE, y DOUBLE", *points), polygons, ["district"]).collect()}
     want = {(i, d) for i, x, y in points for d, rings in RINGS.items() if brute(x, y, rings)}
     assert got == want
     assert {i for i, _ in got if i > 9000} == {9003, 9004}
 
 
+def test_a_very_large_polygon_has_few_tiles(frame):
+    """One polygon a thousand times as wide as the others, points on its level and on theirs."""
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    shapes = {"large": [(x * 1000 - 500, y * 1000 - 500) for x, y in square]}
+    shapes |= {f"small{i}": [(x + 2 * i, y) for x, y in square] for i in range(20)}
+    shapes["flat"], shapes["dot"] = [(0.0, 5.0), (9.0, 5.0)], [(3.0, 3.0)]
+    rows = [(d, 0, j, x, y) for d, ring in shapes.items() for j, (x, y) in enumerate(ring)]
+    polygons = polygons_from_vertices(frame("district STRING, ring INT, seq INT, x DOUBLE, y DOUBLE", *rows), ["district"])
+    boxed = spatial.with_level(with_bbox(polygons))
+    tiles = {r.district: r["count"] for r in spatial.tiles_of(boxed, ["district"]).groupBy("district").count().collect()}
+    assert tiles.keys() == shapes.keys() and max(tiles.values()) <= (spatial.CELLS_A_SIDE + 1) ** 2
+    assert "rings" not in spatial.tiles_of(boxed, ["district"]).columns
+    points = [(1, 0.5, 0.5), (2, 400.0, 400.0), (3, 1.5, 0.5), (4, 600.0, 0.0), (5, 38.5, 0.25)]
+    got = {(r.id, r.district) for r in points_in_polygons(frame("id INT, x DOUBLE, y DOUBLE", *points), polygons, ["district"]).collect()}
+    assert got == {(1, "large"), (1, "small0"), (2, "large"), (3, "large"), (5, "large"), (5, "small19")}
+    nowhere = points_in_polygons(frame("id INT, x DOUBLE, y DOUBLE", *points), polygons.limit(0), ["district"])
+    assert nowhere.count() == 0 and nowhere.columns == ["id", "x", "y", "district"]
+
+
 def test_boxes(polygons):
     boxes = {r.district: (r.xmin, r.ymin, r.xmax, r.ymax) for r in with_bbox(polygons).collect()}
     assert boxes == {"notched": (0, 0, 4, 4), "holed": (5, 0, 9, 4), "triangle": (-3, -3, -1, -1)}
@@ -133,9 +154,11 @@ def test_candidates_at_point(frame, people):
     rows = [(d, 0, j, x + dx, y) for d, dx in (("District 1", 0), ("2", 2)) for j, (x, y) in enumerate(square[0])]
     plan = polygons_from_vertices(frame("district STRING, ring INT, seq INT, x DOUBLE, y DOUBLE", *rows), ["district"])
     points = frame("id INT, x DOUBLE, y DOUBLE", (1, 0.5, 0.5), (2, 2.5, 0.5), (3, 9.0, 9.0))
-    house = {(r.id, r.name, r.district_label) for r in districts.candidates_at_point(points, plan, people, "House").collect()}
+    plans = plan.withColumn("chamber", F.explode(F.array(F.lit("House"), F.lit("Senate"))))
+    found = districts.candidates_at_point(points, plans, people).collect()
+    house = {(r.id, r.name, r.district_label) for r in found if r.chamber == "House"}
     assert house == {(1, "Ann Lee", "District 1"), (1, "Bob M Ray", "District 1")}
-    senate = {(r.id, r.name) for r in districts.candidates_at_point(points, plan, people, "Senate").collect()}
+    senate = {(r.id, r.name) for r in found if r.chamber == "Senate"}
     assert senate == {(2, "Cy Fox")}
 
 
@@ -147,3 +170,18 @@ def test_plan_layers(frame):
     }
     outline = districts.district_outline(layers).filter(F.col("district_num") == 1)
     assert {r.plan for r in outline.collect()} == {"house_plan_hcs", "sen_plan"}
+
+
+def test_versions_have_shapes_of_their_own(frame):
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    names = [*districts.PLAN_GROUPS, "draft"]
+    rows = [(plan, "District 1" if k % 2 else "1", 0, j, x * (k + 1), y) for k, plan in enumerate(names) for j, (x, y) in enumerate(square)]
+    rows += [("sen_plan", "1", 1, j, x / 2, y / 2) for j, (x, y) in enumerate(square)]
+    table = polygons_from_vertices(frame("plan STRING, district STRING, ring INT, seq INT, x DOUBLE, y DOUBLE", *rows), ["plan", "district"])
+    layers = districts.versioned_layers(table)
+    got = {r.plan: (r.chamber, r.xmax, r.npoints) for r in layers.collect()}
+    assert got.keys() == districts.PLAN_GROUPS.keys() and len({x for _, x, _ in got.values()}) == 7
+    assert got["sen_plan"][2] == 8 and got["house_plan"][2] == 4
+    shown = frame("chamber STRING, district STRING, precinct STRING", ("House", "District 1", "a"), ("Senate", "1", "b"), ("House", "District 2", "c"))
+    outlined = {r.precinct: (r.outline_plan, r.outline_points) for r in districts.outlined_map(shown, layers).collect()}
+    assert outlined == {"a": ("house_plan_hcs", 4), "b": ("sen_plan", 8), "c": (None, None)}

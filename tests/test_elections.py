@@ -101,6 +101,32 @@ def test_winner_matches_brute_force(frame):
         assert units[u].winner == want, mine
 
 
+def test_equal_rows_at_the_top_are_a_tie(frame):
+    """Rows are counted: two equal ones at the top are no winner, and both stand in the label and the total."""
+    data = [("a", "ANN", "IND1", 9), ("a", "ANN", "IND1", 9), ("a", "BOB", "IND2", 3), ("b", "ANN", "IND1", 9), ("b", "BOB", "IND2", 9), ("c", "ANN", "IND1", 9), ("c", "BOB", "IND2", 3), ("c", "BOB", "IND2", 3)]
+    rows = win.counted(frame("u STRING, candidate STRING, party STRING, votes BIGINT", *data), ["u"])
+    got = {r.u: r for r in win.unit_winners(rows, ["u"], extra=[win.vote_label(F.col("n")).alias("label")]).collect()}
+    assert {u: (r.winner, r.winning_votes, r.total_votes) for u, r in got.items()} == {"a": ("Tie", 9, 21), "b": ("Tie", 9, 18), "c": ("IND1", 9, 15)}
+    assert got["a"].label == "ANN: 9<br>ANN: 9<br>BOB: 3" and got["c"].label == "ANN: 9<br>BOB: 3<br>BOB: 3"
+
+
+def test_a_primary_whose_rows_become_equal(frame):
+    """Rows that differ in party only are equal once a primary shows ranks."""
+    rows = frame(SCHEMA, row("adair", "A101", "ANN", "REP", 7, election="primary"), row("adair", "A101", "ANN", "DEM", 7, election="primary"), row("adair", "A101", "BOB", "DEM", 1, election="primary"))
+    fips = frame("county STRING, fips BIGINT", ("adair", 21001))
+    (unit,) = elections.precinct_map_results(elections.contest_rows(rows), fips).collect()
+    assert (unit.winner, unit.winning_votes, unit.total_votes, unit.label) == ("Tie", 7, 15, "ANN: 7<br>ANN: 7<br>BOB: 1")
+
+
+def test_a_ballot_of_any_length_comes_out_whole(frame):
+    rows = frame(SCHEMA, *[row("x", "1", f"C{i}", "IND", i) for i in range(7)], row("x", "1", "C3", "REP", 5), row("y", "1", "C6", "IND", 2))
+    units = {r.unit: r for r in win.ballots(win.totals(rows, [*elections.CONTEST, "county"]).withColumn("unit", F.col("county")), elections.CONTEST, "unit").collect()}
+    assert [(b["slot"], b["candidate"], b["party"], b["votes"]) for b in units["x"].ballot] == sorted(
+        [(i + 1, f"C{i}", "IND", i) for i in range(7)] + [(4, "C3", "REP", 5)], key=lambda t: (t[0], t[2])
+    )
+    assert units["x"].n_candidates == 7 and [(b["slot"], b["votes"], b["contest_votes"]) for b in units["y"].ballot] == [(7, 2, 8)]
+
+
 def test_detail_keeps_contests_of_every_size(frame):
     rows = frame(
         SCHEMA,

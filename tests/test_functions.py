@@ -187,3 +187,11 @@ def test_steps(frame):
     ]
     rows = frame("i INT, w STRING, p DOUBLE", *[(i, w, p) for i, (w, p, _) in enumerate(cases)]).orderBy("i")
     assert [r[0] for r in rows.select(colors.step_fill("w", "p")).collect()] == [c for _, _, c in cases]
+
+
+def test_counts_by_values_that_occur(frame):
+    from civic_spark.operators.reshape import counts_by_value, map_text
+
+    rows = frame("k INT, p STRING", (1, "Democratic"), (1, "Independent"), (1, "Independent"), (1, None), (2, "Republican"), (3, None))
+    got = {r.k: (r.counts, r.t) for r in counts_by_value(rows, ["k"], "p").withColumn("t", map_text("counts")).collect()}
+    assert got == {1: ({"Democratic": 1, "Independent": 2, "NA": 1}, "Democratic=1 | Independent=2 | NA=1"), 2: ({"Republican": 1}, "Republican=1"), 3: ({"NA": 1}, "NA=1")}

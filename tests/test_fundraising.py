@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from civic_spark.functions import colors
 from civic_spark.operators.quantiles import bin_of, grouped_quantiles, midpoint_rank
 from civic_spark.plans import choices, fundraising
 
@@ -125,8 +126,8 @@ def test_pickers(frame):
     assert [r.candidate for r in choices.candidate_choices(table).collect()] == ["A", "C"]
 
 
-@pytest.mark.parametrize("slices", [2, 7, 64])
-def test_quantiles_match_numpy(frame, slices):
+@pytest.mark.parametrize("slices, rank_rows", [(2, 5), (7, 30), (64, 50_000), (64, 2)])
+def test_quantiles_match_numpy(frame, slices, rank_rows):
     random.seed(slices)
     groups = {
         "ties": [float(random.randint(1, 5)) for _ in range(500)],
@@ -138,13 +139,35 @@ def test_quantiles_match_numpy(frame, slices):
     rows = [(k, v) for k, vs in groups.items() for v in vs] + [("one", None)]
     probs = {"a": 0.0, "b": 0.2, "c": 0.5, "d": 0.8, "e": 1.0}
     table = frame("k STRING, v DOUBLE", *rows)
-    linear = {r.k: r for r in grouped_quantiles(table, ["k"], "v", probs, slices=slices).collect()}
-    hinges = {r.k: r for r in grouped_quantiles(table, ["k"], "v", probs, rank=midpoint_rank, slices=slices).collect()}
+    linear = {r.k: r for r in grouped_quantiles(table, ["k"], "v", probs, rank_rows=rank_rows, slices=slices).collect()}
+    hinges = {r.k: r for r in grouped_quantiles(table, ["k"], "v", probs, rank=midpoint_rank, rank_rows=rank_rows, slices=slices).collect()}
     for k, vs in groups.items():
         assert list(linear[k])[1:] == pytest.approx(np.quantile(vs, list(probs.values())))
         assert list(hinges[k])[1:] == pytest.approx(np.quantile(vs, list(probs.values()), method="hazen"))
 
 
+def test_large_groups_are_narrowed_before_they_are_ranked(frame):
+    """Every interval that goes on to be ranked holds at most the stated number of values, and all wanted ranks."""
+    from civic_spark.operators import quantiles
+
+    rows = frame("k STRING, v DOUBLE", *[("big", float((i * 7919) % 5003)) for i in range(5003)], *[("small", float(i)) for i in range(9)])
+    counted = rows.groupBy("k", F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    nothing = F.lit(None).cast("double")
+    ends = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(r).alias("lo"), F.lit(r).alias("hi"), F.lit(float(r)).alias("at")) for n, r in (("a", 17), ("b", 4000))])
+    whole = counted.filter("k = 'big'").groupBy("k").agg(F.count(F.lit(1)).alias("_values"))
+    open_ = whole.select("k", nothing.alias("_above"), nothing.alias("_upto"), F.lit(0).cast("bigint").alias("_start"), "_values", ends.alias("_wanted"))
+    found = quantiles._narrowed(counted, open_, ["k"], 64).collect()
+    assert len(found) == 2 and all(r["_values"] < 5003 / 64 * 2 for r in found)
+    held = {w["name"]: r["_start"] <= w["lo"] < r["_start"] + r["_values"] for r in found for w in r["_wanted"]}
+    assert held == {"a": True, "b": True}
+
+
+def test_fills_by_number_of_bins(frame):
+    rows = frame("bin INT, bins INT", (1, 5), (5, 5), (4, 4), (1, 1), (3, 3), (None, 5))
+    got = [r[0] for r in rows.select(colors.bin_fill(F.col("bin"), F.col("bins"))).collect()]
+    assert got == ["#ffffcc", "#253494", "#225ea8", "#edf8b1", "#2c7fb8", "#808080"]
+
+
 def test_bins_cover_all_values(frame):
     rows = frame("x DOUBLE", *[(float(i),) for i in range(11)])
     breaks = F.array(*[F.lit(float(b)) for b in (0, 2, 2, 5, 10)])

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from civic_spark.bindings.views import Views
-from civic_spark.plans import elections, fundraising
+from civic_spark.operators.ordering import global_rank
+from civic_spark.plans import elections, fundraising, primaries
 from civic_spark.sources import sinks
 
 FOLDER = "/root/testdata/sf0.001"
@@ -76,3 +78,47 @@ def test_results_hold_when_nothing_is_broadcast_and_a_key_is_hot(spark, frame):
         spark.conf.unset("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes")
     assert len(got) == 10 and got["X - 1"].total_votes == sum(range(1, 401))
     assert (got["X - 1"].can1, got["X - 1"].winner) == ("C0", "P0")
+
+
+def test_party_resolution_reads_the_results_once(spark):
+    from civic_spark.bindings.queries_results import overrides, race_lookup
+
+    view = Views(spark, FOLDER)
+    ballots = view.spark.read.parquet(_kept(view.ballots))
+    plan = final_plan(primaries.resolve_parties(ballots, race_lookup(view), overrides(view)))
+    assert len(re.findall(r"FileScan parquet \[year", plan)) == 1, plan
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 6, plan
+
+
+def _kept(df) -> str:
+    path = sinks.shared_folder(df.sparkSession)
+    sinks.overwrite_table(df, path)
+    return path
+
+
+@pytest.mark.parametrize("name", ["primary_token_precinct_map", "precinct_map_data"])
+def test_map_winners_come_from_counted_rows(spark, name):
+    """Equal rows are put together by a hash aggregate before any winner is looked for."""
+    plan = final_plan(queries()[name](spark, FOLDER))
+    winner = plan.index("min(CASE WHEN isnotnull(votes")
+    assert "HashAggregate(keys=" in plan[winner:] and "count(1)" in plan[winner:]
+
+
+def test_global_rank(spark):
+    """Places are those of a full sort, equal rows included, and a first column with one value spreads over tasks."""
+    rows = spark.range(4000).selectExpr("CASE WHEN id % 3 = 0 THEN DATE'2020-01-01' ELSE date_add(DATE'2020-01-02', CAST(id % 50 AS int)) END AS day", "id % 700 AS v", "CAST(id % 2 AS string) AS w")
+    for order, key in (
+        ([F.col("day").desc_nulls_last(), F.col("v"), F.col("w")], lambda r: (-r.day.toordinal(), r.v, r.w)),
+        ([F.col("day"), F.col("v").desc(), F.col("w").desc()], lambda r: (r.day.toordinal(), -r.v, -int(r.w))),
+    ):
+        got = global_rank(rows, order).collect()
+        assert [r.rank for r in got] == list(range(1, 4001))
+        assert [(r.day, r.v, r.w) for r in got] == [(r.day, r.v, r.w) for r in sorted(rows.collect(), key=key)]
+    assert global_rank(rows.limit(0), [F.col("day")]).count() == 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        keys = [F.col("day"), F.col("v"), F.col("w"), F.rand(29)]
+        parts = rows.repartitionByRange(*keys).groupBy(F.spark_partition_id().alias("p")).agg(F.count_if(F.col("day") == F.lit("2020-01-01").cast("date")).alias("n")).filter("n > 0")
+        assert parts.count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -113,6 +113,18 @@ def test_split(frame, results, lookup, overrides):
     assert [(r.candidate, r.party) for r in split.filter("race = 'CLERK' AND token = '__UNLABELED__'").collect()] == [("Kim", "primary")]
 
 
+def test_roster_of_the_year(frame):
+    """Each year is matched against the roster that was valid in it; a year can be picked."""
+    unresolved = frame("year INT, race STRING, candidate STRING, office STRING", *[(y, "r", "Ann Lee", "Sheriff") for y in (2022, 2024, 2026)])
+    roster = frame(
+        "year INT, office_bp STRING, candidate STRING, party STRING",
+        (2024, "Sheriff", "Ann Lee", "REP"), (2026, "Sheriff", "Ann Lee", "DEM"), (2020, "Sheriff", "Ann Lee", "IND"),
+    )
+    every = {r.year: r.party for r in rosters.roster_status(unresolved, roster).collect()}
+    assert every == {2022: None, 2024: "REP", 2026: "DEM"}
+    assert [(r.year, r.party) for r in rosters.roster_status(unresolved, roster, year=2024).collect()] == [(2024, "REP")]
+
+
 def test_roster_tiers(frame):
     unresolved = frame(
         "year INT, race STRING, candidate STRING, office STRING",
@@ -122,12 +134,13 @@ def test_roster_tiers(frame):
         (2026, "r2", "Ann Q. Lee", "Mayor"),
     )
     roster = frame(
-        "county STRING, office_bp STRING, candidate STRING, party STRING",
-        ("x", "County Sheriff", "ANN Q LEE", "REP"),
-        ("y", "County Sheriff", "Ann Q Lee", "REP"),
-        ("x", "County Sheriff", "Bob Ray", "DEM"),
-        ("x", "County Sheriff", "Two Face", "DEM"),
-        ("x", "County Sheriff", "Two Face", "REP"),
+        "year INT, county STRING, office_bp STRING, candidate STRING, party STRING",
+        (2026, "x", "County Sheriff", "ANN Q LEE", "REP"),
+        (2026, "y", "County Sheriff", "Ann Q Lee", "REP"),
+        (2026, "x", "County Sheriff", "Bob Ray", "DEM"),
+        (2026, "x", "County Sheriff", "Two Face", "DEM"),
+        (2026, "x", "County Sheriff", "Two Face", "REP"),
+        (2024, "x", "County Sheriff", "Two Face", "REP"),
     )
     status = rosters.roster_status(unresolved, roster)
     assert {(r.race, r.candidate): r.party for r in status.collect()} == {

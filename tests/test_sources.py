@@ -82,3 +82,21 @@ def test_incremental_reads_each_page_once(spark, frame, tmp_path):
     assert {r.county for r in run().collect()} == {"A", "B"}
     assert run().count() == 4
     assert spark.read.parquet(out).count() == 4
+
+
+def test_profile_reads_every_column_once(frame):
+    rows = frame("a INT, b STRING, c ARRAY<INT>, d DATE, e DOUBLE", (3, "x", [1, 2], None, -0.0), (None, "a", [], None, 2.5), (7, None, None, None, None))
+    got = {r.column_name: (r.n, r.nulls, r.smallest, r.largest, r.smallest_number, r.largest_number) for r in tables.profile(rows).collect()}
+    assert got == {
+        "a": (3, 1, None, None, 3.0, 7.0), "b": (3, 1, "a", "x", None, None), "c": (3, 1, None, None, 0.0, 2.0),
+        "d": (3, 3, None, None, None, None), "e": (3, 1, None, None, 0.0, 2.5),
+    }
+    assert str(got["e"][4]) == "0.0"
+    assert [(r.n, r.nulls) for r in tables.profile(rows.limit(0)).collect()] == [(0, 0)] * 5
+
+
+def test_layer_of_vertices(frame):
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]
+    rows = [("A1", ring, j, x + 2 * ring, y) for ring in (0, 1) for j, (x, y) in enumerate(square)]
+    (one,) = tables.scan_layer(tables.layer_shapes(frame("precinct STRING, ring INT, seq INT, x DOUBLE, y DOUBLE", *rows), ["precinct"]), "precinct").collect()
+    assert (one.vtdst, one.npoints, len(one.rings), one.xmin, one.xmax, one.ymax) == ("00A1", 6, 2, 0.0, 3.0, 1.0)
