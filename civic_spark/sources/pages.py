@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.semantics import matched
+from ..functions.semantics import matched, named
 
 # How roster pages mark their blocks, items, offices, parties and addresses.
 BLOCK = r'^<div[^>]*class="[^"]*\bwidget-data-list\b[^"]*"[^>]*>'
@@ -34,22 +34,39 @@ def decoded(text: Column) -> Column:
 
 def roster_blocks(html: Column) -> Column:
     """Markup of a page's roster blocks, each up to the tag that closes it, whatever is nested inside; an unclosed
-    block reaches to the end of the page."""
-    pieces = F.split(html, r"(?=<div\b|</div\b)")
+    block reaches to the end of the page.
+
+    One pass over the page's tags counts how deep they are; only where a block starts and how long it is are kept.
+    """
 
     def step(state: Column, piece: Column) -> Column:
-        depth = state["depth"]
+        depth, at = state["depth"], state["at"] + 1
+        opens = (depth == 0) & piece.rlike(BLOCK)
+        closes = (depth == 1) & piece.rlike(r"^</div\b")
         deeper = (
-            F.when(depth == 0, piece.rlike(BLOCK).cast("int"))
+            F.when(opens, 1)
+            .when(depth == 0, 0)
             .when(piece.rlike(r"^<div\b"), depth + 1)
             .when(piece.rlike(r"^</div\b"), depth - 1)
             .otherwise(depth)
         )
-        kept = F.when(deeper > 0, F.concat(state["kept"], F.array(piece))).otherwise(state["kept"])
-        return F.struct(deeper.alias("depth"), kept.alias("kept"))
+        start = F.when(opens, at).otherwise(state["start"])
+        span = F.array(F.struct(state["start"].alias("start"), (at - state["start"]).alias("size")))
+        spans = F.when(closes, F.concat(state["spans"], span)).otherwise(state["spans"])
+        return F.struct(deeper.alias("depth"), at.alias("at"), start.alias("start"), spans.alias("spans"))
+
+    def blocks(pieces: Column) -> Column:
+        none = F.array().cast("array<struct<start: int, size: int>>")
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(1).alias("start"), none.alias("spans"))
+
+        def finish(state: Column) -> Column:
+            rest = F.array(F.struct(state["start"].alias("start"), (state["at"] + 1 - state["start"]).alias("size")))
+            return F.when(state["depth"] > 0, F.concat(state["spans"], rest)).otherwise(state["spans"])
+
+        spans = F.aggregate(pieces, start, step, finish)
+        return F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(pieces, s["start"], s["size"]))), "")
 
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
-    return F.aggregate(pieces, start, step, lambda state: F.array_join(state["kept"], ""))
+    return named(F.split(html, r"(?=<div\b|</div\b)"), blocks)
 
 
 def roster_items(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -60,13 +77,13 @@ def roster_items(pages: DataFrame, url: str = "url", html: str = "html") -> Data
     item = F.col("_item")
     name = F.when(item.rlike(ANCHOR), visible_text(F.regexp_extract(item, ANCHOR, 1)))
     title = decoded(matched(F.regexp_extract(item, ANCHOR_TAG, 0), TITLE))
-    named = items.select(
+    found = items.select(
         F.replace(matched("_url", COUNTY), F.lit("_"), F.lit(" ")).alias("county"),
         matched(title, OFFICE).alias("office_bp"),
         name.alias("candidate"),
         F.when(letter == "R", "REP").when(letter == "D", "DEM").alias("party"),
     )
-    return named.filter(F.col("candidate").isNotNull() & F.col("party").isNotNull()).distinct()
+    return found.filter(F.col("candidate").isNotNull() & F.col("party").isNotNull()).distinct()
 
 
 def links(pages: DataFrame, keep: str, host: str = "", limit: int | None = None, html: str = "html") -> DataFrame:
