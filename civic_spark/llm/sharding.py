@@ -7,6 +7,7 @@ is within tolerance of its share or cannot move; then the rows are exchanged onc
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +41,12 @@ def _below(rows: DataFrame, key: str, probes: list[int]) -> list[tuple[int, int]
     return list(zip(np.cumsum(gaps[0]).tolist(), np.cumsum(gaps[1]).tolist()))[:-1]
 
 
-def splitters(rows: DataFrame, key: str, targets: list[int], tolerance: int, probes: int = 32) -> list[tuple[int, int, int, int, int]]:
+def splitters(rows: DataFrame, key: str, targets: list[int], tolerances: list[int], candidates: int = 32_768) -> list[tuple[int, int, int, int, int]]:
     """For each target the nearest keys ``(low, high)`` found, with the bytes below them, and the rows between.
 
-    One histogram job a round, with ``probes`` candidates in each open interval; the driver sees a sum per candidate. An
-    interval closes when an end is within tolerance of its target, or when at most one row or one key lies in it.
+    One histogram job a round over about ``candidates`` keys, shared by the open intervals (32 to 4096 each); the driver sees
+    a sum per candidate. An interval closes when an end is within its tolerance of its target, or when at most one
+    row or one key lies in it.
     """
     first, last, whole, n = rows.agg(F.min(key), F.max(key), F.sum("size"), F.count("*")).first()
     if not n:
@@ -54,26 +56,50 @@ def splitters(rows: DataFrame, key: str, targets: list[int], tolerance: int, pro
         open_ = [
             i
             for i, (a, b, x, y, m, k) in enumerate(spans)
-            if b - a > 1 and k - m > 1 and min(targets[i] - x, y - targets[i]) > tolerance
+            if b - a > 1 and k - m > 1 and min(targets[i] - x, y - targets[i]) > tolerances[i]
         ]
         if not open_:
             return [(a, b, x, y, k - m) for a, b, x, y, m, k in spans]
-        wanted = {a + (b - a) * k // (probes + 1) for a, b in {spans[i][:2] for i in open_} for k in range(1, probes + 1)}
-        wanted |= {a + 1 for a, b in {spans[i][:2] for i in open_} if b - a < probes}
-        candidates = sorted(wanted)
-        counted = _below(rows, key, candidates)
+        different = {spans[i][:2] for i in open_}
+        probes = min(4096, max(32, candidates // len(different)))
+        wanted = {a + (b - a) * k // (probes + 1) for a, b in different for k in range(1, probes + 1)}
+        keys = sorted(k for k in wanted | {a + 1 for a, b in different if b - a < probes})
+        counted = _below(rows, key, keys)
         for i in open_:
             a, b, x, y, m, k = spans[i]
-            for p, (c, r) in zip(candidates, counted):
-                if a < p < b:
-                    if c > targets[i]:
-                        b, y, k = p, c, r
-                        break
-                    a, x, m = p, c, r
+            j = bisect_right(keys, a)
+            end = bisect_left(keys, b)
+            # the first probe with more below it than the target closes the interval, the one before it opens it
+            low, high = j, end
+            while low < high:
+                mid = (low + high) // 2
+                low, high = (low, mid) if counted[mid][0] > targets[i] else (mid + 1, high)
+            if low < end:
+                b, y, k = keys[low], *counted[low]
+            if low > j:
+                a, x, m = keys[low - 1], *counted[low - 1]
             spans[i] = (a, b, x, y, m, k)
 
 
-def shard(docs: DataFrame, shards: int = 40, overhead: int = 16, tolerance: float = 0.002, keep_together: float = 0.01, runs: int = 4) -> DataFrame:
+def _unit_of(cuts: list[tuple[int, int]]):
+    """Number of ascending cuts ``(key, tie)`` at or below each row's, for whole columns."""
+    cut_keys, cut_ties = (np.array(c, dtype=np.int64) for c in zip(*cuts)) if cuts else (np.zeros(0, np.int64),) * 2
+    shared = np.unique(cut_keys)
+
+    def number(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for key, tie in pairs:
+            k, t = key.to_numpy(), tie.to_numpy()
+            unit = np.searchsorted(cut_keys, k, side="left")
+            for same in np.intersect1d(shared, k):  # rows at a cut go by their tie
+                at = np.flatnonzero(k == same)
+                first, last = np.searchsorted(cut_keys, same, side="left"), np.searchsorted(cut_keys, same, side="right")
+                unit[at] = first + np.searchsorted(cut_ties[first:last], t[at], side="right")
+            yield pd.Series(unit.astype(np.int32))
+
+    return F.pandas_udf(number, "int")
+
+
+def shard(docs: DataFrame, shards: int = 40, overhead: int = 16, tolerance: float = 0.002, keep_together: float = 0.01, run_rows: int = 200_000) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` of documents ``(doc_id, text)``: shards of nearly equal bytes in the order
     of (text hash, doc_id).
 
@@ -83,8 +109,8 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16, tolerance: floa
     within a shard, in order. NULL doc_ids come first; rows that agree in text and doc_id stay together. Fewer rows than shards leave
     shards empty, and no rows give no rows.
 
-    Every shard is cut into ``runs`` by the same histogram, so that no task orders more than a run, however many rows one
-    text has.
+    Every shard is cut by the same histogram into runs of about ``run_rows`` rows, less exactly, so that no task orders more
+    than a run, however many rows there are or one text has.
     """
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = written(
@@ -96,32 +122,30 @@ def shard(docs: DataFrame, shards: int = 40, overhead: int = 16, tolerance: floa
         ).withColumn("tie", F.coalesce("doc_id", F.lit(LOW))),
         "shard-keys",
     )
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    runs = max(4, -(-n // (shards * run_rows)))
     mean, units = total / shards, shards * runs
     targets = [total * i // units for i in range(1, units)]
+    # cuts between runs of one shard may lie a quarter of a run off
+    near = [int(mean * tolerance) if i % runs == 0 else int(mean / runs / 4) for i in range(1, units)]
+    far = [mean * max(keep_together, tolerance) if i % runs == 0 else mean / runs / 4 for i in range(1, units)]
     cuts: list[tuple[int, int]] = []
     inside: dict[tuple[int, int, int], list[int]] = {}
-    for i, (a, b, x, y, n) in enumerate(splitters(rows, "key", targets, int(mean * tolerance))):
+    for i, (a, b, x, y, many) in enumerate(splitters(rows, "key", targets, near)):
         t = targets[i]
         key, off = (a, t - x) if t - x <= y - t else (b, y - t)
         cuts.append((key, LOW))
-        if n > 1 and off > mean * max(keep_together, tolerance):  # within the copies of one text: the one key of the interval
+        if many > 1 and off > far[i]:  # within the copies of one text: the one key of the interval
             inside.setdefault((a, b, x), []).append(i)
     for (a, b, x), open_ in inside.items():
         group = rows.where((F.col("key") >= a) & (F.col("key") < b))
         key = group.agg(F.min("key")).first()[0]
-        for i, (low, high, u, v, _) in zip(open_, splitters(group, "tie", [targets[i] - x for i in open_], 0)):
+        within = [0 if (i + 1) % runs == 0 else near[i] for i in open_]
+        for i, (low, high, u, v, _) in zip(open_, splitters(group, "tie", [targets[i] - x for i in open_], within)):
             t = targets[i] - x
             cuts[i] = (key, low if t - u <= v - t else high)
     cuts.sort()
-
-    def number(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for key, tie in pairs:
-            k, t = key.to_numpy(), tie.to_numpy()
-            yield pd.Series(sum(((k > a) | ((k == a) & (t >= b)) for a, b in cuts), np.zeros(len(k), np.int32)))
-
-    unit_of = F.pandas_udf(number, "int")
-    placed = rows.withColumn("unit", unit_of("key", "tie"))
+    placed = rows.withColumn("unit", _unit_of(cuts)("key", "tie"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1))
     counts = placed.groupBy("unit").agg(F.count("*").alias("n")).withColumn("shard", F.expr(f"unit div {runs}").cast("int"))
     starts = counts.select("unit", "shard", F.coalesce(before, F.lit(0)).alias("before"))
