@@ -90,6 +90,19 @@ def test_nearest(spark):
 VECTORS = [(i, [1.0, 0.0]) for i in range(0, 30)] + [(100, [0.0, 1.0]), (101, [0.0, 0.0]), (102, None), (103, [1.0, None]), (104, [float("nan"), 1.0]), (105, [0.1, 1.0]), (106, [1.0, 2.0, 3.0]), (107, [2.0, 0.0])]
 
 
+@pytest.mark.parametrize("n", [1, 2, 11, 33, 90])
+def test_small_shards_are_searched_alike(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", *[F.lit(1).alias(c) for c in ("id", "vec", "dim", "score")])
+    got = defaultdict(list)
+    for r in hnsw.nearest(df, F.lit(True), k=10).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["id"], r["score"]))
+    want = brute.nearest(rows, lambda q: True, 10)
+    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want)
+    assert hits >= (1 if n <= 33 else 0.95) * sum(map(len, want.values()))
+
+
 def test_nearest_of_copies(spark):
     df = spark.createDataFrame(VECTORS, "vec_id long, embedding array<double>")
     got = defaultdict(list)
@@ -310,6 +323,26 @@ def test_shards(spark, texts, none):
     assert sharding.shard(none).count() == 0
 
 
+@pytest.mark.parametrize("run_rows", [3, 40, 200_000])
+def test_shards_against_a_full_sort(spark, run_rows):
+    """Shards and slots are those of all rows in the order of (text hash, doc_id), cut where the bytes say."""
+    rng = np.random.default_rng(14)
+    rows = [(int(i) if i % 17 else None, "x" * int(n)) for i, n in enumerate(rng.integers(0, 400, 300))]
+    rows += [(1000 + i, "hot text") for i in range(250)] + [(7, "hot text")] * 3 + [(None, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(5).alias("key"), F.lit(1).alias("unit"), F.lit(2).alias("size"))
+    hashes = dict(docs.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit("")))).distinct().collect())
+    got = sharding.shard(docs, shards=6, run_rows=run_rows).collect()
+    crc = {zlib.crc32(t.encode()): t for t in hashes}
+    placed = sorted((r["shard"], r["slot"], hashes[crc[r["text_crc32"]]], -1 << 63 if r["doc_id"] is None else r["doc_id"], r["size"]) for r in got)
+    assert [p[2:] for p in placed] == sorted(p[2:] for p in placed) and len(placed) == len(rows)
+    total, at, most = sum(p[4] for p in placed), 0, max(p[4] for p in placed)
+    for shard in range(6):
+        own = [p for p in placed if p[0] == shard]
+        assert [p[1] for p in own] == list(range(len(own)))
+        at += sum(p[4] for p in own)
+        assert abs(at - total * (shard + 1) / 6) <= max(most, 0.01 * total / 6)
+
+
 def test_shards_cut_one_large_group(spark):
     rows = spark.createDataFrame([(i, "same text") for i in range(400)] + [(i, f"t{i}") for i in range(400, 420)], "doc_id long, text string")
     total = defaultdict(int)
