@@ -424,8 +424,8 @@ def dialect(index: int) -> dict[str, str]:
     return {name: body if isinstance(body, str) else body[index] for name, body in VIEWS.items()}
 
 
-#: Where the lookup tables of a session and data folder stand.
-STORED: dict[tuple[str, str, str], str] = {}
+#: Where the lookup tables of a session, data folder and state of its files stand.
+STORED: dict[tuple[str, ...], str] = {}
 
 
 class Views:
@@ -455,18 +455,29 @@ class Views:
         return self.spark.sql(statement)
 
     def stored(self, name: str, build) -> DataFrame:
-        """Result of a lookup job as the table its consumers read: written once per session and data folder, to the shared
-        folder.
+        """Result of a lookup job as the table its consumers read: written once per session, data folder and state of its
+        files, to the shared folder. A table that was changed since gives new lookups.
 
         This is the boundary between the offline jobs and the queries on top of them. It also gives Spark the
         table's real size, so the broadcast decision is made on facts.
         """
-        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        key = (self.spark.sparkContext.applicationId, self.folder, self._state(), name)
         if key not in STORED:
             STORED[key] = shared_folder(self.spark)
             run_job(build(), STORED[key], write=True)
         return self.spark.read.parquet(STORED[key])
 
+    def _state(self) -> str:
+        """Names, sizes and times of the files of all base tables."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        place = jvm.org.apache.hadoop.fs.Path(self.folder)
+        system, seen = place.getFileSystem(conf), []
+        files = system.listFiles(place, True)
+        while files.hasNext():
+            status = files.next()
+            seen.append(f"{status.getPath().toString()} {status.getLen()} {status.getModificationTime()}")
+        return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:
             df = self.sql(f"SELECT * FROM {name}")

@@ -39,3 +39,21 @@ def test_all_queries_have_sql():
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["primary_token_precinct_map", "precinct_map_data", "pivot_candidate_slots", "sort_multi", "roster_match_year"])
+def test_query_on_more_rows(spark, name):
+    """Ties and long ballots that the smallest scale does not hold."""
+    folder = "/root/testdata/sf0.01"
+    rows, problems = compare(QUERIES[name](spark, folder), duck(folder), SQL[name])
+    assert not problems and rows > 0, problems
+
+
+def test_stored_lookups_follow_the_files(spark, tmp_path):
+    from civic_spark.bindings.views import Views
+
+    spark.range(3).write.parquet(str(tmp_path / "region.parquet"))
+    first = Views(spark, str(tmp_path))._state()
+    assert Views(spark, str(tmp_path))._state() == first
+    spark.range(4).write.mode("append").parquet(str(tmp_path / "region.parquet"))
+    assert Views(spark, str(tmp_path))._state() != first
