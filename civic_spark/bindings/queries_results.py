@@ -209,6 +209,22 @@ def _(v):
 # One party's primary
 
 
+@query(
+    "primary_picked_democratic",
+    f"""SELECT {s.PRIMARY}, county, precinct, candidate, party, votes FROM d_split WHERE token = 'DEM'""",
+)
+def _(v):
+    return primaries.picked(split(v), "DEM")
+
+
+@query(
+    "primary_picked_third_party",
+    f"""SELECT {s.PRIMARY}, county, precinct, candidate, party, votes FROM d_split WHERE token = '__ALL__'""",
+)
+def _(v):
+    return primaries.picked(split(v), "IND")
+
+
 @query(
     "primary_token_result",
     f"""SELECT {s.PRIMARY}, candidate, {s.nasum()} AS votes, {s.title('candidate')} AS display_name FROM d_split

@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.sinks import run_job, shared_folder
+from ..sources.tables import scan_parquet
 
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -444,7 +445,7 @@ class Views:
     def table(self, name: str) -> DataFrame:
         view = f"{self._prefix}_{name}"
         if not self.spark.catalog.tableExists(view):
-            self.spark.read.parquet(self.path(name)).createOrReplaceTempView(view)
+            scan_parquet(self.spark, self.path(name)).createOrReplaceTempView(view)
         return self.spark.table(view)
 
     def sql(self, text: str) -> DataFrame:

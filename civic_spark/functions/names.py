@@ -14,14 +14,18 @@ PARTY_SPELLINGS = {
     "IND": ["IND", "INDEPENDENT", "I"],
 }
 
+# What a name key leaves out (running mate, nickname, punctuation), and words of a party in a race's name.
+RUNNING_MATE, NICKNAME, PUNCTUATION = r"/.*$", r'"[^"]*"', r"[.,]"
+RACE_WORDS = {"DEM": "DEMOCRAT", "REP": "REPUBLIC"}
+
 # Display names of the two parties that have their own primaries.
 PARTY_LABELS = {"DEM": "Democratic", "REP": "Republican"}
 
 
 def name_key(name: Column | str) -> Column:
     """Match key of a person: no running mate, nickname or punctuation; one space; upper case."""
-    head = F.regexp_replace(as_col(name), r"/.*$", "")
-    plain = F.regexp_replace(F.regexp_replace(head, r'"[^"]*"', " "), r"[.,]", " ")
+    head = F.regexp_replace(as_col(name), RUNNING_MATE, "")
+    plain = F.regexp_replace(F.regexp_replace(head, NICKNAME, " "), PUNCTUATION, " ")
     return F.upper(squish(plain))
 
 
@@ -35,7 +39,7 @@ def first_last(key: Column | str) -> Column:
 
 def party_in_race_name(race: Column | str) -> Column:
     upper = F.upper(as_col(race))
-    return F.when(upper.rlike("DEMOCRAT"), "DEM").when(upper.rlike("REPUBLIC"), "REP")
+    return F.when(upper.rlike(RACE_WORDS["DEM"]), "DEM").when(upper.rlike(RACE_WORDS["REP"]), "REP")
 
 
 def party_code(text: Column | str) -> Column:
