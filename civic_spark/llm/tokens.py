@@ -1,24 +1,35 @@
 """Token ids of texts by a tokenizer file of the ``tokenizers`` library.
 
 Texts are cut at white space and each different word is encoded once per worker: the tokenizer's own pre-tokenizer never
-joins characters across white space, so the ids of a text are the ids of its words in order. Words that a worker meets
-first are encoded together by the library and told apart by the offsets that it returns.
+joins characters across white space, so the ids of a text are the ids of its words in order. Of a plain word, letters of
+Latin-1 with signs of ASCII behind, the letters and the signs are pieces of their own to the pre-tokenizer; each is looked
+up as a word, and the library's model is asked for letters once: its normaliser only lowers their case. Any other word is
+encoded by the library as a whole. Strings of special tokens in a text are those tokens, as the library has it.
 """
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
 
-import numpy as np
+#: Words kept per worker: lower-case letters, signs, and words that are neither. The table is emptied when it is full.
+CACHE_WORDS, CACHE_BYTES = 400_000, 64
 
-#: Words kept per worker; the table is emptied when it is full. Longer words are encoded each time they occur.
-CACHE_WORDS, CACHE_BYTES = 800_000, 64
+_SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
+#: Letters of Latin-1, then signs of ASCII without the apostrophe (which may start a piece with the letters behind it).
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
 
-class Encoder:
-    """Little-endian unsigned 32-bit ids of UTF-8 texts, without special tokens. Strings of special tokens are plain text."""
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
-    _made: dict[str, "Encoder"] = {}
+
+class Words(dict):
+    """Ids of words, worked out when a word is first asked for."""
 
     def __init__(self, path: str):
         import os
@@ -27,8 +38,47 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+
+    def _piece(self, letters: str) -> bytes:
+        """Ids of a run of lower-case letters."""
+        plain = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
+        ids = [token.id for token in self.model.tokenize(plain)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, word: bytes) -> bytes:
+        letters = word.rstrip(_SIGNS)
+        if letters.isalpha():  # of ASCII
+            alone = letters.lower()
+        elif found := _PLAIN.match(word.decode("utf-8", "replace")):
+            alone, letters = found[1].lower().encode(), found[1].encode()
+        else:
+            return self._kept(word, self._whole(word.decode("utf-8", "replace")))
+        if alone == word:
+            return self._kept(word, self._piece(word.decode()))
+        # put together at each occurrence, so that the table is left to letters
+        return self[alone] + self[word[len(letters) :]] if len(letters) < len(word) else self[alone]
+
+    def _kept(self, word: bytes, raw: bytes) -> bytes:
+        if len(word) <= CACHE_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = raw
+        return raw
+
+
+class Encoder:
+    """Little-endian unsigned 32-bit ids of UTF-8 texts, without special tokens around them."""
+
+    _made: dict[str, "Encoder"] = {}
+
+    def __init__(self, path: str):
+        self.words = Words(path)
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -37,40 +87,8 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(found.ids, dtype="<u4")
-        at = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(ids))
-        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
-        ends = np.searchsorted(at, np.cumsum(sizes), side="left").tolist()
-        raw, start = ids.tobytes(), 0
-        for word, end in zip(words, ends):
-            self.known[word] = raw[4 * start : 4 * end]
-            start = end
-
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Ids of each text as bytes, four for each id."""
-        group: list[list[bytes]] = []
-        held = 0
+        ids = self.words.__getitem__
         for text in texts:
-            words = (text or b"").split()
-            group.append(words)
-            held += len(words)
-            if held >= 100_000:
-                yield from self._group(group)
-                group, held = [], 0
-        yield from self._group(group)
-
-    def _group(self, group: list[list[bytes]]) -> Iterator[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list({w for words in group for w in words}.difference(self.known))
-        for i in range(0, len(new), 4096):
-            self._learn(new[i : i + 4096])
-        ids = self.known.__getitem__
-        for words in group:
-            yield b"".join(map(ids, words))
-        for w in new:
-            if len(w) > CACHE_BYTES:
-                del self.known[w]
+            yield b"".join(map(ids, (text or b"").split()))
