@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .subwords import different_words, grams
 
 #: Words kept per worker; the table is emptied when it is full. Longer words are worked out each time they occur.
-CACHE_WORDS, CACHE_CHARS = 800_000, 64
+CACHE_WORDS, CACHE_CHARS = 400_000, 64
 
 
 @dataclass
@@ -85,14 +85,17 @@ def train(
     vectors, w, bias = np.zeros((buckets, dim), np.float32), rng.normal(size=dim).astype(np.float32), 0.0
     if not 0 < y.sum() < len(y):
         return Model(vectors, w, logit, blanks, scale)
-    bags = [sorted(different_words(t)) for t in texts]
-    order = {word: i for i, word in enumerate(dict.fromkeys(word for bag in bags for word in bag))}
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    word = np.fromiter((order[x] for b in bags for x in b), np.int32, len(doc))
-    share = (scale / (np.array([len(b) for b in bags]) + blanks))[doc]
-    found, counts = grams(list(order), buckets)
-    if not len(found):
+    order: dict[str, int] = {}
+    bags = [np.array([order.setdefault(x, len(order)) for x in sorted(different_words(t))], np.int32) for t in texts]
+    if not order:
         return Model(vectors, w, logit, blanks, scale)
+    lengths = np.array([len(b) for b in bags])
+    doc, word = np.repeat(np.arange(len(bags), dtype=np.int32), lengths), np.concatenate(bags)
+    share = (scale / (lengths + blanks))[doc]
+    words = list(order)
+    blocks = [grams(words[i : i + 20_000], buckets) for i in range(0, len(words), 20_000)]  # a block's work arrays are large
+    found, counts = (np.concatenate(c) for c in zip(*blocks))
+    del blocks, bags
     owner = np.repeat(np.arange(len(order), dtype=np.int32), counts)
     uses = np.bincount(found, weights=np.bincount(word, minlength=len(order))[owner], minlength=buckets)
     kept = uses[found] >= least_texts
