@@ -98,6 +98,8 @@ NEW = ("size", "source_size", "target", "copies")
 
 def _counted(docs: DataFrame, keep: list[str], weights, share, most, seed) -> DataFrame:
     """``row`` (the columns ``keep``) and ``NEW`` of every row."""
+    if docs.where(F.input_file_name() == "").limit(1).count():  # rows that do not come straight from files have no lasting place
+        docs = written(docs, "mix-rows")
     spot = F.monotonically_increasing_id().alias("pos")
     light = docs.select("doc_id", F.col("source").cast("string").alias("source"), words_count(F.col("text")).alias("size"), spot)
     light = written(light, "mix-sizes")
@@ -113,8 +115,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
     ``size`` counts words (NULL text: 0), ``copies`` is from 0 to ``most``. Documents without words are taken as often as
     the whole passes over their source. A source's words taken stay at or below its target. Equal rows are told apart by
-    their position in the table, which must be read from files, so that positions hold; all orders are seeded, and a rerun
-    over the same files takes the same. ``keep`` names the input's columns to return (all, if None); one called like a new column is
+    their position in the table; rows that do not come straight from files are written first, so that positions hold. All
+    orders are seeded, and a rerun over the same files takes the same. ``keep`` names the input's columns to return (all, if None); one called like a new column is
     replaced. No rows give no rows.
     """
     kept = [c for c in (keep or docs.columns) if c.lower() not in NEW]

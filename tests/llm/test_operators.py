@@ -254,6 +254,8 @@ def test_mix(spark, texts, none):
     assert len(rows) == len(docs) and all(0 <= want[s] - taken[s] <= 3000 for s in sizes)
     assert mixing.mixed(texts).columns == texts.columns and mixing.mixed(texts).count() == sum(r["copies"] for r in rows)
     assert mixing.mix(none).count() == 0
+    shuffled = mixing.mix(texts.repartition(5)).collect()  # no row changes its place between two reads
+    assert len(shuffled) == len(docs) and all(0 <= want[s] - sum(r["size"] * r["copies"] for r in shuffled if r["source"] == s) <= 3000 for s in sizes)
     run = lambda: keyed(QUERIES["op6_source_mix"](spark, FOLDER), "doc_id", "size", "source_size", "target", "taken")
     assert run() == run()
 
