@@ -17,7 +17,11 @@ ORACLE_SQL = None
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text scores ``GOOD`` or more by a model learned from the labels that are not held out."""
+    """Documents whose text scores ``GOOD`` or more by a model learned from the labels that are not held out.
+
+    NULL and empty texts are scored like any other; rows with NULL in other columns, without an id or with the id of another row
+    are judged by their text alone. Repeated rows stay or go together. An empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, ~quality.held_out())
     # a struct keeps the row apart from the score, whatever its columns are called
@@ -26,22 +30,38 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word Jaccard similarity of 0.8 or more, that with the smallest doc_id."""
+    """Of each group of documents linked by five-word Jaccard similarity of 0.8 or more, that with the smallest doc_id.
+
+    Texts without words, rows without an id, and rows of one id with unrelated texts stay; of repeated rows one stays. An
+    empty table stays empty.
+    """
     return ngramjoin.deduplicated(docs, n=5, least=0.8)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the windows of 35 words that stand in more than one place."""
+    """All documents, without the windows of 35 words that stand in more than one place.
+
+    No row goes, also not one that loses all its words; a repeated row is another place. NULL texts stay NULL, texts that lose
+    nothing stay as they are. An empty table stays empty.
+    """
     return substrings.cleaned(docs, size=35)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them; those it does not take go."""
+    """Documents as often as the mix of sources takes them, twice at most; those it does not take go.
+
+    A NULL source is one of the sources, the last. Texts without words (NULL, empty, white space) are taken as often as the
+    whole passes over their source. Repeated rows are documents of their own. An empty table stays empty.
+    """
     return mixing.mixed(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in sequences of 4096 tokens."""
+    """Pieces of all documents and their places in sequences of 4096 tokens.
+
+    A NULL or empty text is one piece, its end id. Repeated rows have pieces of their own; a NULL id stays NULL. An empty
+    table gives no pieces.
+    """
     return packing.pack_documents(docs, word_tokenizer(), end_id=2, max_tokens=4096)
 
 
