@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from civic_spark.operators import spatial
+from civic_spark.operators.joins import product_join
 from civic_spark.operators.spatial import points_in_polygons, polygons_from_vertices, with_bbox
 from civic_spark.plans import districts
 
@@ -162,6 +163,33 @@ def test_candidates_at_point(frame, people):
     assert senate == {(2, "Cy Fox")}
 
 
+def test_points_of_one_district_are_dealt_over_tasks(spark, frame):
+    """Thousands of points and of candidates in one district: their pairs do not come out of one task."""
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    plan = polygons_from_vertices(frame("district STRING, ring INT, seq INT, x DOUBLE, y DOUBLE", *[("1", 0, j, x, y) for j, (x, y) in enumerate(square)]), ["district"])
+    points = spark.range(5000).selectExpr("id", "0.5D AS x", "(id + 1) / 6000 AS y")
+    copies = spark.range(4000).selectExpr(
+        "'State Representative' AS office", "1 AS district", "'Ann' AS first_name", "cast(NULL AS string) AS middle_name", "'Lee' AS last_name",
+        *[f"'w' AS {c}" for c in ("lrc_website", "political_website", "facebook", "twitter", "instagram")],
+    )
+    found = districts.candidates_at_point(points, plan.withColumn("chamber", F.lit("House")), copies)
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 5000 * 4000 and max(tasks) < sum(tasks) / 2
+    assert found.groupBy("id").count().filter("count <> 4000").isEmpty()
+
+
+def test_product_join_equals_a_plain_join(frame):
+    rng = random.Random(11)
+    keys = [("a", 1)] * 60 + [("a", 2)] * 9 + [("b", 1), ("b", None), (None, 2)]
+    left = frame("k STRING, n INT, x INT", *[(*rng.choice(keys), rng.randrange(5)) for _ in range(400)])
+    right = frame("k STRING, n INT, y INT", *[(*rng.choice(keys), rng.randrange(5)) for _ in range(90)], ("c", 7, 1))
+    want = sorted(left.join(right, ["k", "n"]).collect())
+    for block_rows, task_pairs in ((1, 500), (7, 1000), (1024, 2_000_000)):
+        assert sorted(product_join(left, right, ["k", "n"], block_rows, task_pairs).collect()) == want
+    assert product_join(left.limit(0), right, ["k", "n"]).count() == 0
+    assert product_join(left, right.filter("k = 'c'"), ["k", "n"]).columns == ["k", "n", "x", "y"]
+
+
 def test_plan_layers(frame):
     new, old = frame("district STRING", ("District 1",)), frame("DISTRICT STRING", ("1",))
     layers = districts.plan_layers({"house_plan_hcs": new, "house_2014": old, "sen_plan": new})
