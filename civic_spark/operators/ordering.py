@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.sinks import shared_folder
@@ -21,8 +23,9 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     path = shared_folder(df.sparkSession)
     laid.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
     rows = df.sparkSession.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
-    counts = rows.groupBy("_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    running = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
-    before = counts.select("_part", "_first", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
+    counts = sorted(rows.groupBy("_part").agg(F.min("_at"), F.count(F.lit(1))).collect())  # a row per part
+    ends = accumulate(n for _, _, n in counts)
+    offsets = [(part, first, end - n) for (part, first, n), end in zip(counts, ends)]
+    before = df.sparkSession.createDataFrame(offsets, "_part bigint, _first bigint, _before bigint")
     place = F.col("_at") - F.col("_first") + F.col("_before") + 1
     return rows.join(before, "_part").select(*df.columns, place.cast("bigint").alias(name)).orderBy(name)
