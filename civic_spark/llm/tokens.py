@@ -5,6 +5,10 @@ joins characters across white space, so the ids of a text are the ids of its wor
 Latin-1 with signs of ASCII behind, the letters and the signs are pieces of their own to the pre-tokenizer; each is looked
 up as a word, and the library's model is asked for letters once: its normaliser only lowers their case. Any other word is
 encoded by the library as a whole. Strings of special tokens in a text are those tokens, as the library has it.
+
+Letters of ASCII are lowered in the whole text first, so that a word has one entry however it is written. That is left out
+where case may count: special strings are looked for before the normaliser lowers them, and it joins letters with the
+combining marks behind them first, some of them (h and a line below) in lower case only.
 """
 
 from __future__ import annotations
@@ -13,9 +17,12 @@ import re
 import struct
 from collections.abc import Iterator
 
-#: Words kept per worker: lower-case letters, signs, and words that are neither. The table is emptied when it is full.
+#: Words kept per worker, with the signs behind them. The table is emptied when it is full.
 CACHE_WORDS, CACHE_BYTES = 400_000, 64
 
+#: What special strings begin with, and the lead bytes of combining marks (U+0300 to U+037F) in UTF-8.
+_CASE_COUNTS = (b"<|", b"\xcc", b"\xcd")
+
 _SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
 #: Letters of Latin-1, then signs of ASCII without the apostrophe (which may start a piece with the letters behind it).
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)\Z")
@@ -39,17 +46,20 @@ class Words(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.model._resize_cache(0)  # this table stands in front of it
         self.letters = _byte_letters()
+        self.packs = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return self.packs[len(ids)](*ids) if len(ids) < len(self.packs) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, letters: str) -> bytes:
         """Ids of a run of lower-case letters."""
         plain = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
-        ids = [token.id for token in self.model.tokenize(plain)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self._packed([token.id for token in self.model.tokenize(plain)])
 
     def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: bytes) -> bytes:
         letters = word.rstrip(_SIGNS)
@@ -61,8 +71,7 @@ class Words(dict):
             return self._kept(word, self._whole(word.decode("utf-8", "replace")))
         if alone == word:
             return self._kept(word, self._piece(word.decode()))
-        # put together at each occurrence, so that the table is left to letters
-        return self[alone] + self[word[len(letters) :]] if len(letters) < len(word) else self[alone]
+        return self._kept(word, self[alone] + self[word[len(letters) :]] if len(letters) < len(word) else self[alone])
 
     def _kept(self, word: bytes, raw: bytes) -> bytes:
         if len(word) <= CACHE_BYTES:
@@ -91,4 +100,7 @@ class Encoder:
         """Ids of each text as bytes, four for each id."""
         ids = self.words.__getitem__
         for text in texts:
-            yield b"".join(map(ids, (text or b"").split()))
+            text = text or b""
+            if not any(mark in text for mark in _CASE_COUNTS):
+                text = text.lower()
+            yield b"".join(map(ids, text.split()))

@@ -373,6 +373,25 @@ def test_encoder_is_the_library(encode):
     assert encode("a <|endoftext|> b") == [320, 49407, 321]
 
 
+def test_encoder_lowers_texts_only_where_case_cannot_count(encode):
+    """One entry for a word however it is written; marks that join small letters only, and special strings, keep their case."""
+    from civic_spark.llm.tokens import Encoder
+
+    encoder = Encoder(word_tokenizer())
+    texts = ["The THE the", "tHe. THE.", "H\u0331 h\u0331", "T\u0344 t\u0344", "J\u030cX J\u030c.", "I\u0307 A\u030a", "<|EndOfText|> <|endoftext|>", "İX ÀB K"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in texts])]
+    assert got == [*map(encode, texts)]
+    encoder = Encoder(word_tokenizer())
+    list(encoder.encode([t.encode() for t in texts[:2]]))
+    assert set(encoder.words) == {b"the", b"the.", b"."}
+
+
+def test_read_ids_go_through_python_once(spark, texts):
+    folder = tokenfile.write_token_files(texts, word_tokenizer(), 1)
+    plan = tokenfile.token_digest(tokenfile.read_token_files(spark, folder))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_packing(spark, texts, none, encode):
     rows = packing.pack_documents(texts, word_tokenizer(), 2, 512, 3).collect()
     parts, bins = defaultdict(list), defaultdict(list)
