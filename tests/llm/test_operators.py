@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -130,6 +131,47 @@ def test_linked_vectors(spark):
     assert covertree.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+def disk_of_exchanges(spark):
+    """Bytes of the session's shuffle files."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return sum(f.stat().st_size for d in folders for f in Path(d.getPath()).rglob("*") if f.is_file())
+
+
+def test_units_that_meet_are_not_copied(spark):
+    """Vectors spread evenly: some 60 units meet pairwise, and exchanges stay a small multiple of the vectors."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))
+    x[2000:2600] = x[:600] + rng.normal(size=(600, 64)) * 0.1  # near copies
+    x[2600:2900] = x[0] + rng.normal(size=(300, 64)) * 0.15  # many of one vector
+    x[2900:] = x[1]
+    rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32).astype(float))]
+    df = spark.createDataFrame(rows, "id long, vec array<float>")
+    before = disk_of_exchanges(spark)
+    got = covertree.near_duplicates(df, id_column="id", vector="vec", unit_rows=64)
+    assert disk_of_exchanges(spark) - before < 16e6
+    assert keyed(got, "id", "n_links", "component_id") == brute.linked_vectors(rows, 0.95)
+
+
+def test_vectors_that_differ_in_the_sign_of_zero_are_copies(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [-0.0, 1.0]), (3, [-0.0, 1.0]), (4, [1e-300, 1.0]), (5, [1.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in covertree.near_duplicates(df, least=1.0).collect())
+    assert got == [(1, 4, 1), (2, 4, 1), (3, 4, 1), (3, 4, 1), (4, 4, 1), (5, 0, 5)]
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.1, 0.4])
+def test_dual_traversal_on_groups(spread):
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=(12, 1, 24)) + rng.normal(size=(12, 40, 24)) * spread).reshape(-1, 24)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    a, b = x[::2], x[1::2]
+    trees = [covertree.levels_of(y, covertree.nested_levels(y, 3)) for y in (a, b)]
+    near = {tuple(p) for p in np.argwhere(np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)) <= 0.3).tolist()}
+    for step in (7, 1 << 20):
+        found = [(i, j) for i, j in covertree.descend(*trees, 0.3, step)]
+        pairs = [p for i, j in found for p in zip(i.tolist(), j.tolist())]
+        assert near <= set(pairs) and len(set(pairs)) == len(pairs) < len(a) * len(b) and all(len(i) <= step for i, _ in found)
+
+
 def test_cover_tree_prunes_nothing_near():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 3))
