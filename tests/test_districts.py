@@ -190,6 +190,17 @@ def test_product_join_equals_a_plain_join(frame):
     assert product_join(left, right.filter("k = 'c'"), ["k", "n"]).columns == ["k", "n", "x", "y"]
 
 
+def test_product_join_unfolds_slices(spark, frame):
+    """The join yields a row per right row and slice of the left; pairs only come out of the lists above it."""
+    left = frame("k INT, x INT, t STRING", *[(i % 2, i, None if i % 3 else str(i)) for i in range(300)])
+    right = frame("k INT, y INT", *[(i % 2, i) for i in range(50)], (None, 1), (5, 1))
+    found = product_join(left, right, ["k"], block_rows=64)
+    assert sorted(found.collect(), key=str) == sorted(left.join(right, "k").collect(), key=str) and found.count() == 2 * 150 * 25
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline(_rows") < plan.index("Join Inner, ")
+    assert product_join(left.select("k"), right, ["k"]).columns == ["k", "y"] and product_join(left.select("k"), right.select("k"), ["k"]).count() == 2 * 150 * 25
+
+
 def test_plan_layers(frame):
     new, old = frame("district STRING", ("District 1",)), frame("DISTRICT STRING", ("1",))
     layers = districts.plan_layers({"house_plan_hcs": new, "house_2014": old, "sen_plan": new})
